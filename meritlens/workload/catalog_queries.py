@@ -390,7 +390,7 @@ views.SQL["ask_vec"] = (("ask_tf", "vocab"), vec_sql("ask_tf", "parent_asin"))
 
 def found_sql(asks: str, ask_vec: str, k: int, floor: float) -> str:
     """Brute-force top k over every pair that shares a term."""
-    return f"""SELECT query_id, r AS rank, parent_asin, price, similarity, scope AS retrieval_listing_kind, title, store, main_category FROM (
+    return f"""SELECT query_id, CAST(r AS INT) AS rank, parent_asin, price, similarity, scope AS retrieval_listing_kind, title, store, main_category FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, parent_asin) AS r FROM (
     SELECT a.parent_asin AS query_id, a.scope, p.parent_asin, p.price, p.title, p.store, p.main_category,
       round(least(sum(x.w * y.w), 1.0), 8) AS similarity
