@@ -12,8 +12,15 @@ SPACE = r"[\t-\r\x1c-\x1f \x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
+# The same characters as a list, for the cheaper trim.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACE_CHARS))
 
 
 def clean(c: Column) -> Column:

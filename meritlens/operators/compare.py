@@ -276,15 +276,18 @@ def compare_listings(pairs: DataFrame, cfg: CompareConfig = CompareConfig()) ->
     keep = [x for x in pairs.columns if x not in ("a", "b", "required_spec_keys")]
     return rows.select(
         *keep,
-        F.round("value_score_a", 2).alias("value_score_a"), F.round("value_score_b", 2).alias("value_score_b"),
-        F.round("confidence", 3).alias("confidence"), "verdict", "reasons",
-        *[F.round(n, 2).alias(n) for n in ("cost_a", "cost_b")],
-        F.round("a_spec_score", 2).alias("spec_a"), F.round("b_spec_score", 2).alias("spec_b"),
-        F.round("service_a", 2).alias("service_a"), F.round("service_b", 2).alias("service_b"),
-        F.round("comparability_score", 3).alias("comparability_score"), "missing_fields",
+        _rounded("value_score_a", 2), _rounded("value_score_b", 2), _rounded("confidence", 3), "verdict", "reasons",
+        _rounded("cost_a", 2), _rounded("cost_b", 2), _rounded("a_spec_score", 2, "spec_a"),
+        _rounded("b_spec_score", 2, "spec_b"), _rounded("service_a", 2), _rounded("service_b", 2),
+        _rounded("comparability_score", 3), "missing_fields",
     )
 
 
+def _rounded(name: str, digits: int, into: str | None = None) -> Column:
+    """Round for show; the inner round takes summation noise off exact halves."""
+    return F.round(F.round(name, 9), digits).alias(into or name)
+
+
 def _has(side: str):
     def test(x: Column) -> Column:
         return x[f"has_{side}"]

@@ -14,11 +14,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import terms
 from ..functions.text import clean
 from ..session import materialise
 from .catalog import allowed_kinds, global_rating_mean, normalized_kind, priced_catalog
 from .ordering import top_per_group
-from .tfidf import VocabularyConfig, distinct_documents, document_key, term_counts, vectors, vocabulary
+from .tfidf import (
+    VocabularyConfig, distinct_documents, document_key, numbered, term_counts, vectors, vocabulary,
+)
 
 SLACK = 1e-9
 
@@ -46,21 +49,32 @@ def _named_scopes(base: DataFrame) -> DataFrame:
     )
 
 
+def _scope_id(kind: Column) -> Column:
+    """Number of a named kind; 0 stands for the whole catalog."""
+    listed = F.array(*[F.lit(k) for k in terms.LISTING_KINDS])
+    return F.coalesce(F.array_position(listed, kind), F.lit(0)).cast("int")
+
+
+def _scope_name(scope_id: Column) -> Column:
+    listed = F.array(*[F.lit(k) for k in terms.LISTING_KINDS])
+    return F.coalesce(F.try_element_at(listed, F.nullif(scope_id, F.lit(0))), F.lit(""))
+
+
 def _split_head(vec: Column, floor: float) -> Column:
     """Query terms from common to rare with the number of leading terms that can be set aside."""
     ordered = F.array_sort(
         F.transform(
             vec,
-            lambda t: F.struct(
-                t["idf"].alias("idf"), t["term"].alias("term"), t["w"].alias("w"), t["salts"].alias("salts")
+            lambda x: F.struct(
+                x["idf"].alias("idf"), x["t"].alias("t"), x["w"].alias("w"), x["salts"].alias("salts")
             ),
         )
     )
     limit = (floor * (1.0 - 1e-6)) ** 2
     start = F.struct(F.lit(0.0).alias("seen"), F.lit(0).alias("n"), F.lit(0.0).alias("kept"))
 
-    def step(acc: Column, t: Column) -> Column:
-        seen = acc["seen"] + t["w"] * t["w"]
+    def step(acc: Column, x: Column) -> Column:
+        seen = acc["seen"] + x["w"] * x["w"]
         fits = seen <= limit
         return F.struct(
             seen.alias("seen"),
@@ -73,72 +87,62 @@ def _split_head(vec: Column, floor: float) -> Column:
 
 
 def similar_documents(queries: DataFrame, catalog: DataFrame, cfg: RetrievalConfig) -> DataFrame:
-    """Top pool of distinct catalog documents per distinct (scope, query document).
+    """Top pool of catalog documents per query document: q_id, c_id, similarity.
 
-    queries: scope, doc_key, vec.  catalog: scope, doc_key, vec, first_id.
+    queries: q_id, scope_id, vec.  catalog: c_id, scope_id, vec, first_id.
     """
     q = queries.withColumn("split", _split_head(F.col("vec"), cfg.min_similarity)).select(
-        "scope",
-        F.col("doc_key").alias("q_key"),
+        "scope_id",
+        "q_id",
         F.col("split.norm").alias("tail_norm"),
         F.slice("split.terms", F.lit(1), F.col("split.n")).alias("tail"),
         F.slice("split.terms", F.col("split.n") + 1, F.size("split.terms")).alias("head"),
     )
-    q_terms = q.select("scope", "q_key", "tail_norm", F.explode("head").alias("t")).select(
-        "scope", "q_key", "tail_norm", F.col("t.term").alias("term"), F.col("t.w").alias("wq"),
-        F.explode(F.sequence(F.lit(0), F.col("t.salts") - 1)).alias("salt"),
+    q_terms = q.select("scope_id", "q_id", F.explode("head").alias("x")).select(
+        "scope_id", "q_id", F.col("x.t").alias("t"), F.col("x.w").alias("wq"),
+        F.explode(F.sequence(F.lit(0), F.col("x.salts") - 1)).alias("salt"),
     )
-    c_terms = catalog.select("scope", F.col("doc_key").alias("c_key"), F.explode("vec").alias("t")).select(
-        "scope", "c_key", F.col("t.term").alias("term"), F.col("t.w").alias("wc"),
-        F.pmod(F.xxhash64("c_key"), F.col("t.salts")).cast("int").alias("salt"),
+    c_terms = catalog.select("scope_id", "c_id", F.explode("vec").alias("x")).select(
+        "scope_id", "c_id", F.col("x.t").alias("t"), F.col("x.w").alias("wc"),
+        F.pmod(F.col("c_id"), F.col("x.salts")).cast("int").alias("salt"),
     )
-    pairs = (
-        q_terms.join(c_terms, ["scope", "term", "salt"])
-        .groupBy("scope", "q_key", "c_key")
-        .agg(F.sum(F.col("wq") * F.col("wc")).alias("dot"), F.max("tail_norm").alias("tail_norm"))
-        .where(F.col("dot") + F.col("tail_norm") >= cfg.min_similarity - SLACK)
+    sums = q_terms.join(c_terms, ["scope_id", "t", "salt"]).groupBy("q_id", "c_id").agg(
+        F.sum(F.col("wq") * F.col("wc")).alias("dot")
     )
+    sides = q.select("q_id", "tail_norm", "tail")
+    # Certain members of the pool by partial score give the bar the others have to be able to pass.
     sure = (
-        top_per_group(pairs, ["scope", "q_key"], [F.desc("dot")], cfg.pool)
-        .groupBy("scope", "q_key")
-        .agg(F.min("dot").alias("floor"), F.count("*").alias("found"))
-        .where(F.col("found") == cfg.pool)
-        .drop("found")
+        top_per_group(sums, ["q_id"], [F.desc("dot")], cfg.pool)
+        .groupBy("q_id")
+        .agg(F.min("dot").alias("bar"), F.count("*").alias("found"))
+        .select("q_id", F.when(F.col("found") == cfg.pool, F.col("bar")).otherwise(0.0).alias("bar"))
     )
-    live = pairs.join(sure, ["scope", "q_key"], "left").where(
-        F.col("floor").isNull() | (F.col("dot") + F.col("tail_norm") >= F.col("floor") - SLACK)
+    bars = sides.join(sure, "q_id").withColumn(
+        "need", F.greatest(F.col("bar"), F.lit(cfg.min_similarity)) - F.col("tail_norm") - SLACK
     )
+    live = sums.join(bars, "q_id").where(F.col("dot") >= F.col("need"))
     weights = catalog.select(
-        "scope",
-        F.col("doc_key").alias("c_key"),
-        "first_id",
-        F.map_from_entries(F.transform("vec", lambda t: F.struct(t["term"], t["w"]))).alias("wmap"),
+        "c_id", "first_id", F.map_from_entries(F.transform("vec", lambda x: F.struct(x["t"], x["w"]))).alias("wmap")
     )
     rest = F.aggregate(
         "tail",
         F.lit(0.0),
-        lambda acc, t: acc + t["w"] * F.coalesce(F.try_element_at(F.col("wmap"), t["term"]), F.lit(0.0)),
+        lambda acc, x: acc + x["w"] * F.coalesce(F.try_element_at(F.col("wmap"), x["t"]), F.lit(0.0)),
     )
     scored = (
-        live.join(q.select("scope", "q_key", "tail"), ["scope", "q_key"])
-        .join(weights, ["scope", "c_key"])
-        .select(
-            "scope", "q_key", "c_key", "first_id",
-            F.round(F.least(F.col("dot") + rest, F.lit(1.0)), 8).alias("similarity"),
-        )
+        live.join(weights, "c_id")
+        .select("q_id", "c_id", "first_id", F.round(F.least(F.col("dot") + rest, F.lit(1.0)), 8).alias("similarity"))
         .where(F.col("similarity") >= cfg.min_similarity)
     )
-    return top_per_group(
-        scored, ["scope", "q_key"], [F.desc("similarity"), F.asc("first_id")], cfg.pool
-    ).drop("rank", "first_id")
+    return top_per_group(scored, ["q_id"], [F.desc("similarity"), F.asc("first_id")], cfg.pool).drop("rank", "first_id")
 
 
 @dataclass(frozen=True)
 class RetrievalIndex:
     """Fitted retrieval model: vocabulary, document vectors per scope, and member rows.
 
-    members: scope, doc_key, parent_asin and the columns shown for a neighbour.
-    documents: scope, doc_key, first_id, vec (unit vectors).  vocab: term, df, idf, salts.
+    members: c_id, parent_asin and the columns shown for a neighbour.
+    documents: c_id, scope_id, first_id, vec (unit vectors).  vocab: term, term_id, idf, salts.
     """
 
     vocab: DataFrame
@@ -153,7 +157,7 @@ class RetrievalIndex:
     def fit(catalog: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> "RetrievalIndex":
         """Index the priced rows of a catalog (unique parent_asin).
 
-        A named kind with two or more rows indexes its own rows; the empty scope indexes all.
+        A named kind with two or more rows indexes its own rows; scope 0 indexes all.
         """
         base = materialise(
             priced_catalog(catalog, cfg.allowed_kinds).select(
@@ -163,15 +167,16 @@ class RetrievalIndex:
                 "average_rating", "review_count", "product_document",
             )
         )
-        docs = distinct_documents(base, "product_document")
+        docs = numbered(distinct_documents(base, "product_document"), "doc_id")
         counts = materialise(term_counts(docs, cfg.vocabulary))
         vocab = materialise(vocabulary(counts, docs, cfg.vocabulary))
-        doc_vectors = vectors(counts, vocab)
         named = _named_scopes(base)
-        own = base.join(F.broadcast(named), "kind", "left_semi").withColumn("scope", F.col("kind"))
-        members = own.unionByName(base.withColumn("scope", F.lit(""))).drop("kind", "product_document")
-        first_ids = members.groupBy("scope", "doc_key").agg(F.min("parent_asin").alias("first_id"))
-        documents = materialise(first_ids.join(doc_vectors, "doc_key"))
+        own = base.join(F.broadcast(named), "kind", "left_semi").withColumn("scope_id", _scope_id(F.col("kind")))
+        scoped = own.unionByName(base.withColumn("scope_id", F.lit(0))).drop("kind", "product_document")
+        groups = numbered(scoped.groupBy("scope_id", "doc_key").agg(F.min("parent_asin").alias("first_id")), "c_id")
+        doc_vectors = docs.select("doc_key", "doc_id").join(vectors(counts, vocab), "doc_id").drop("doc_id")
+        documents = materialise(groups.join(doc_vectors, "doc_key").drop("doc_key"))
+        members = scoped.join(groups.drop("first_id"), ["scope_id", "doc_key"]).drop("scope_id", "doc_key")
         return RetrievalIndex(vocab, documents, members, global_rating_mean(base), cfg)
 
     def save(self, path: str) -> None:
@@ -193,42 +198,34 @@ def neighbours(queries: DataFrame, index: RetrievalIndex, cfg: RetrievalConfig |
     override k and the similarity floor of the index.
     """
     cfg = cfg or index.cfg
-    named = index.documents.where(F.col("scope") != "").select("scope").distinct()
+    named = index.documents.where(F.col("scope_id") > 0).select("scope_id").distinct()
     asks = queries.select(
         F.col("parent_asin").alias("query_id"),
         normalized_kind(F.col("listing_kind")).alias("kind"),
         document_key(F.col("product_document")).alias("doc_key"),
         F.lower("product_document").alias("text"),
-    )
+    ).withColumn("_scope", _scope_id(F.col("kind")))
     allowed = allowed_kinds(cfg.allowed_kinds)
     if allowed is not None:
         asks = asks.where(F.col("kind").isin(*allowed))
-    asks = materialise(
-        asks.join(F.broadcast(named.withColumn("kind", F.col("scope"))), "kind", "left").withColumn(
-            "scope", F.coalesce("scope", F.lit(""))
-        )
+    asks = asks.join(F.broadcast(named.withColumnRenamed("scope_id", "_named")), F.col("_scope") == F.col("_named"), "left")
+    asks = asks.select("query_id", "doc_key", "text", F.coalesce("_named", F.lit(0)).alias("scope_id"))
+    ask_docs = numbered(
+        asks.groupBy("scope_id", "doc_key").agg(F.any_value("text").alias("text"), F.lit(1).alias("copies")), "q_id"
     )
-    ask_docs = asks.groupBy("doc_key").agg(F.any_value("text").alias("text"), F.lit(1).alias("copies"))
-    ask_vectors = vectors(term_counts(ask_docs, cfg.vocabulary), index.vocab)
-    query_docs = asks.select("scope", "doc_key").distinct().join(ask_vectors, "doc_key")
+    ask_vectors = vectors(term_counts(ask_docs, cfg.vocabulary, key="q_id"), index.vocab, "q_id")
+    query_docs = ask_docs.select("q_id", "scope_id").join(ask_vectors, "q_id")
     best = similar_documents(query_docs, index.documents, cfg)
 
     # Expand to rows: at most pool members per document can matter, the lowest ids first.
-    rows = top_per_group(index.members, ["scope", "doc_key"], [F.asc("parent_asin")], cfg.pool).select(
-        "scope",
-        F.col("doc_key").alias("c_key"),
-        "parent_asin", "title", "store", "main_category", "listing_kind", "price",
-        "average_rating", "review_count",
-    )
+    rows = top_per_group(index.members, ["c_id"], [F.asc("parent_asin")], cfg.pool).drop("rank")
     pool = top_per_group(
-        best.join(rows, ["scope", "c_key"]),
-        ["scope", "q_key"],
-        [F.desc("similarity"), F.asc("parent_asin")],
-        cfg.pool,
-    ).drop("rank", "c_key")
+        best.join(rows, "c_id"), ["q_id"], [F.desc("similarity"), F.asc("parent_asin")], cfg.pool
+    ).drop("rank", "c_id")
     matched = (
-        asks.select("query_id", "scope", F.col("doc_key").alias("q_key"))
-        .join(pool, ["scope", "q_key"])
+        asks.select("query_id", "scope_id", "doc_key")
+        .join(ask_docs.select("q_id", "scope_id", "doc_key"), ["scope_id", "doc_key"])
+        .join(pool, "q_id")
         .where(F.col("query_id") != F.col("parent_asin"))
     )
     return top_per_group(
@@ -236,7 +233,7 @@ def neighbours(queries: DataFrame, index: RetrievalIndex, cfg: RetrievalConfig |
     ).select(
         "query_id", "rank", "parent_asin", "title", "store", "main_category", "listing_kind",
         "price", "similarity", "average_rating", "review_count",
-        F.col("scope").alias("retrieval_listing_kind"),
+        _scope_name(F.col("scope_id")).alias("retrieval_listing_kind"),
     )
 
 

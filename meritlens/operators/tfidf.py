@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions.text import char_ngrams, word_ngrams
+from ..session import materialise
 
 
 @dataclass(frozen=True)
@@ -30,13 +31,18 @@ def document_key(text: Column) -> Column:
 
 
 def distinct_documents(df: DataFrame, text: str) -> DataFrame:
-    """One row per distinct lower-cased text with its number of copies."""
+    """One row per distinct lower-cased text: doc_key, text, copies."""
     return df.groupBy(document_key(F.col(text)).alias("doc_key")).agg(
         F.any_value(F.lower(F.col(text))).alias("text"), F.count("*").alias("copies")
     )
 
 
-def term_counts(docs: DataFrame, cfg: VocabularyConfig, views: tuple[str, ...] = ("w", "c")) -> DataFrame:
+def numbered(df: DataFrame, into: str) -> DataFrame:
+    """Add a compact unique number; written out, so that it cannot change afterwards."""
+    return materialise(df.withColumn(into, F.monotonically_increasing_id()))
+
+
+def term_counts(docs: DataFrame, cfg: VocabularyConfig, views: tuple[str, ...] = ("w", "c"), key: str = "doc_id") -> DataFrame:
     """Long table of term frequencies; the view (word or character) is the term's prefix."""
     grams = []
     if "w" in views:
@@ -44,8 +50,8 @@ def term_counts(docs: DataFrame, cfg: VocabularyConfig, views: tuple[str, ...] =
     if "c" in views:
         grams.append(F.transform(char_ngrams(F.col("text")), lambda g: F.concat(F.lit("c:"), g)))
     return (
-        docs.select("doc_key", "copies", F.explode(F.concat(*grams)).alias("term"))
-        .groupBy("doc_key", "copies", "term")
+        docs.select(key, "copies", F.explode(F.concat(*grams)).alias("term"))
+        .groupBy(key, "copies", "term")
         .agg(F.count("*").alias("tf"))
     )
 
@@ -60,7 +66,8 @@ def term_stats(counts: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, docs: DataFrame, cfg: VocabularyConfig) -> DataFrame:
     """Terms within the document-frequency bounds, the most frequent ones of each view, with idf.
 
-    At most word_max_features + char_max_features rows, so it can always be broadcast.
+    At most word_max_features + char_max_features rows, so it can always be broadcast (and its
+    numbering window stays that small).
     """
     n_docs = docs.agg(F.sum("copies").alias("n")).scalar()
     kept = (
@@ -76,7 +83,9 @@ def vocabulary(counts: DataFrame, docs: DataFrame, cfg: VocabularyConfig) -> Dat
         parts[0]
         .unionByName(parts[1])
         .select(
+            F.row_number().over(Window.orderBy("term")).alias("term_id"),
             "term",
+            F.col("term").startswith("w:").alias("is_word"),
             "df",
             (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
             F.ceil(F.col("df") / F.lit(float(cfg.postings_per_task))).cast("int").alias("salts"),
@@ -84,28 +93,24 @@ def vocabulary(counts: DataFrame, docs: DataFrame, cfg: VocabularyConfig) -> Dat
     )
 
 
-def vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+def vectors(counts: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """One unit vector per document: each view normalised, then both together.
 
-    ``vec`` is an array of (term, w, idf, salts) structs.
+    ``vec`` is an array of (t, w, idf, salts) structs, t being the term number.
     """
     weighted = counts.join(F.broadcast(vocab), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    is_word = F.col("term").startswith("w:")
     square = F.col("w") * F.col("w")
-    rows = weighted.groupBy("doc_key").agg(
-        F.collect_list(F.struct("term", "w", "idf", "salts")).alias("raw"),
-        F.sqrt(F.sum(F.when(is_word, square).otherwise(0.0))).alias("word_norm"),
-        F.sqrt(F.sum(F.when(is_word, 0.0).otherwise(square))).alias("char_norm"),
+    rows = weighted.groupBy(key).agg(
+        F.collect_list(F.struct(F.col("term_id").alias("t"), "w", "idf", "salts", "is_word")).alias("raw"),
+        F.sqrt(F.sum(F.when(F.col("is_word"), square).otherwise(0.0))).alias("word_norm"),
+        F.sqrt(F.sum(F.when(F.col("is_word"), 0.0).otherwise(square))).alias("char_norm"),
     )
     views = F.sqrt((F.col("word_norm") > 0).cast("double") + (F.col("char_norm") > 0).cast("double"))
 
-    def scaled(t: Column) -> Column:
-        norm = F.when(t["term"].startswith("w:"), F.col("word_norm")).otherwise(F.col("char_norm"))
+    def scaled(x: Column) -> Column:
+        norm = F.when(x["is_word"], F.col("word_norm")).otherwise(F.col("char_norm"))
         return F.struct(
-            t["term"].alias("term"),
-            (t["w"] / norm / views).alias("w"),
-            t["idf"].alias("idf"),
-            t["salts"].alias("salts"),
+            x["t"].alias("t"), (x["w"] / norm / views).alias("w"), x["idf"].alias("idf"), x["salts"].alias("salts")
         )
 
-    return rows.select("doc_key", F.transform("raw", scaled).alias("vec"))
+    return rows.select(key, F.transform("raw", scaled).alias("vec"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = 8, app_name: str = "meritlens") -> SparkSession:
@@ -42,8 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and read it back.
+def materialise(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write a frame to the shared checkpoint folder and read it back (as ``schema`` if given).
 
     Cuts lineage for tables used many times (fitted models, indexes). The files outlive lost
     executors; the folder's owner cleans it like any checkpoint folder.
@@ -51,6 +52,5 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)

@@ -25,14 +25,14 @@ def split_products(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf: str):
-    rows = split_products(spark, sf)
+    """Test rows and priced train rows of the prepared catalog, which is written once."""
+    rows = materialise(split_products(spark, sf).drop("categories"))
     return rows.where(F.col("split") == "test"), C.priced_catalog(rows.where(F.col("split") == "train"))
 
 
 def _matched(spark: SparkSession, sf: str):
     """Test rows with their peers and market context, and the mean rating of the train rows."""
     test, train = _parts(spark, sf)
-    test = materialise(test)
     index = R.RetrievalIndex.fit(train)
     found = R.neighbours(test, index)
     return test, found, R.market_context(test, found), index.rating_mean
@@ -87,7 +87,7 @@ def global_rating_mean(spark, sf):
 
 
 def term_stats(spark, sf):
-    docs = T.distinct_documents(views.table(spark, sf, "documents"), "text")
+    docs = T.numbered(T.distinct_documents(views.table(spark, sf, "documents"), "text"), "doc_id")
     cfg = T.VocabularyConfig(min_df=2, max_df=0.95, word_max_features=2000)
     vocab = T.vocabulary(T.term_counts(docs, cfg, ("w",)), docs, cfg)
     return vocab.select(F.substr("term", F.lit(3)).alias("term"), "df", F.round("idf", 6).alias("idf"))
@@ -95,13 +95,15 @@ def term_stats(spark, sf):
 
 def tfidf_vectors(spark, sf):
     _, train = _parts(spark, sf)
-    docs = T.distinct_documents(train, "product_document")
-    counts = T.term_counts(docs, T.VocabularyConfig())
-    vec = T.vectors(counts, T.vocabulary(counts, docs, T.VocabularyConfig()))
+    docs = T.numbered(T.distinct_documents(train, "product_document"), "doc_id")
+    counts = materialise(T.term_counts(docs, T.VocabularyConfig()))
+    vocab = materialise(T.vocabulary(counts, docs, T.VocabularyConfig()))
     return (
-        vec.join(docs.select("doc_key", "text"), "doc_key")
-        .select("text", F.explode("vec").alias("t"))
-        .select("text", F.col("t.term").alias("term"), F.round("t.w", 6).alias("weight"))
+        T.vectors(counts, vocab)
+        .join(docs.select("doc_id", "text"), "doc_id")
+        .select("text", F.explode("vec").alias("x"))
+        .join(F.broadcast(vocab.select("term_id", "term")), F.col("x.t") == F.col("term_id"))
+        .select("text", "term", F.round("x.w", 6).alias("weight"))
     )
 
 

@@ -360,7 +360,7 @@ def listing_compare(spark, sf):
     out = P.compare_listings(_compare_pairs(spark, sf))
     return out.select(
         "pair_id", "verdict", *[F.round(c, 1).alias(c) for c in ("value_score_a", "value_score_b", "cost_a", "cost_b", "service_a", "service_b")],
-        F.round("confidence", 2).alias("confidence"), F.array_join("missing_fields", ",").alias("missing_fields"),
+        "confidence", F.array_join("missing_fields", ",").alias("missing_fields"),
     )
 
 
@@ -572,7 +572,7 @@ e AS (SELECT *, 0.6 * cost_a + 0.25 * sa + 0.15 * service_a AS va, 0.6 * cost_b
     - CASE WHEN ac <> '' AND bc <> '' AND ac <> bc THEN 0.2 ELSE 0 END - CASE WHEN cmp < 0.6 THEN 0.3 * (0.6 - cmp) / 0.6 ELSE 0 END - CASE WHEN cov < 0.8 THEN 0.2 * (0.8 - cov) / 0.8 ELSE 0 END)) AS conf FROM d)
 SELECT pair_id, CASE WHEN conf < 0.45 THEN 'insufficient_evidence' WHEN abs(va - vb) <= 3 THEN 'tie' WHEN va > vb THEN 'better_A' ELSE 'better_B' END AS verdict,
   round(round(va, 2), 1) AS value_score_a, round(round(vb, 2), 1) AS value_score_b, round(round(cost_a, 2), 1) AS cost_a, round(round(cost_b, 2), 1) AS cost_b, round(round(service_a, 2), 1) AS service_a,
-  round(round(service_b, 2), 1) AS service_b, round(round(conf, 3), 2) AS confidence, array_to_string(miss, ',') AS missing_fields FROM e"""
+  round(round(service_b, 2), 1) AS service_b, round(round(conf, 9), 3) AS confidence, array_to_string(miss, ',') AS missing_fields FROM e"""
 
 _toks = lambda c, name: f"array_to_string(list_sort({c}), ',') AS {name}"
 ORACLES = {
