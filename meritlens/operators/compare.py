@@ -240,7 +240,7 @@ def compare_listings(pairs: DataFrame, cfg: CompareConfig = CompareConfig()) ->
         {
             "value_score_a": cfg.weight_cost * F.col("cost_a") + cfg.weight_spec * F.col("a_spec_score") + cfg.weight_service * F.col("service_a"),
             "value_score_b": cfg.weight_cost * F.col("cost_b") + cfg.weight_spec * F.col("b_spec_score") + cfg.weight_service * F.col("service_b"),
-            "confidence": clamp(confidence),
+            "confidence": F.round(clamp(confidence), 12),
         }
     )
     delta = F.col("value_score_a") - F.col("value_score_b")

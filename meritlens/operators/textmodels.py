@@ -59,7 +59,7 @@ def with_vectors(df: DataFrame, entries: str, size: int, into: str = "features")
         F.transform(entries, lambda x: x["i"].cast("int")).alias("indices"),
         F.transform(entries, lambda x: x["v"].cast("double")).alias("values"),
     )
-    rows = df.drop(entries).withColumn(into, layout)
+    rows = df.withColumn(into, layout).drop(entries)
     schema = T.StructType(
         [T.StructField(f.name, VectorUDT() if f.name == into else f.dataType, True) for f in rows.schema.fields]
     )

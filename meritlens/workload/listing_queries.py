@@ -568,8 +568,8 @@ COMPARE = f"""WITH c AS (SELECT p.pair_id, a.words AS aw, b.words AS bw, a.cur A
 d AS (SELECT *, (pa / nk + pb / nk) / 2 AS cov, 100 * (0.7 * pa / nk + 0.3 * ea / nc / 100) AS sa, 100 * (0.7 * pb / nk + 0.3 * eb / nc / 100) AS sb,
   0.5 * CASE WHEN len(aw) + len(bw) = 0 THEN 0.5 ELSE len(list_intersect(aw, bw)) / len(list_distinct(aw || bw)) END + 0.5 * eq / sh AS cmp FROM c),
 e AS (SELECT *, 0.6 * cost_a + 0.25 * sa + 0.15 * service_a AS va, 0.6 * cost_b + 0.25 * sb + 0.15 * service_b AS vb,
-  least(1.0, greatest(0.0, 1 - least(0.55, 0.03 * len(miss)) - CASE WHEN ta IS NULL THEN 0.12 ELSE 0 END - CASE WHEN tb IS NULL THEN 0.12 ELSE 0 END - CASE WHEN ae THEN 0.06 ELSE 0 END - CASE WHEN be THEN 0.06 ELSE 0 END
-    - CASE WHEN ac <> '' AND bc <> '' AND ac <> bc THEN 0.2 ELSE 0 END - CASE WHEN cmp < 0.6 THEN 0.3 * (0.6 - cmp) / 0.6 ELSE 0 END - CASE WHEN cov < 0.8 THEN 0.2 * (0.8 - cov) / 0.8 ELSE 0 END)) AS conf FROM d)
+  round(least(1.0, greatest(0.0, 1 - least(0.55, 0.03 * len(miss)) - CASE WHEN ta IS NULL THEN 0.12 ELSE 0 END - CASE WHEN tb IS NULL THEN 0.12 ELSE 0 END - CASE WHEN ae THEN 0.06 ELSE 0 END - CASE WHEN be THEN 0.06 ELSE 0 END
+    - CASE WHEN ac <> '' AND bc <> '' AND ac <> bc THEN 0.2 ELSE 0 END - CASE WHEN cmp < 0.6 THEN 0.3 * (0.6 - cmp) / 0.6 ELSE 0 END - CASE WHEN cov < 0.8 THEN 0.2 * (0.8 - cov) / 0.8 ELSE 0 END)), 12) AS conf FROM d)
 SELECT pair_id, CASE WHEN conf < 0.45 THEN 'insufficient_evidence' WHEN abs(va - vb) <= 3 THEN 'tie' WHEN va > vb THEN 'better_A' ELSE 'better_B' END AS verdict,
   round(round(va, 2), 1) AS value_score_a, round(round(vb, 2), 1) AS value_score_b, round(round(cost_a, 2), 1) AS cost_a, round(round(cost_b, 2), 1) AS cost_b, round(round(service_a, 2), 1) AS service_a,
   round(round(service_b, 2), 1) AS service_b, round(round(conf, 9), 3) AS confidence, array_to_string(miss, ',') AS missing_fields FROM e"""
