@@ -176,7 +176,9 @@ class RetrievalIndex:
         groups = numbered(scoped.groupBy("scope_id", "doc_key").agg(F.min("parent_asin").alias("first_id")), "c_id")
         doc_vectors = docs.select("doc_key", "doc_id").join(vectors(counts, vocab), "doc_id").drop("doc_id")
         documents = materialise(groups.join(doc_vectors, "doc_key").drop("doc_key"))
-        members = scoped.join(groups.drop("first_id"), ["scope_id", "doc_key"]).drop("scope_id", "doc_key")
+        members = materialise(
+            scoped.join(groups.drop("first_id"), ["scope_id", "doc_key"]).drop("scope_id", "doc_key")
+        )
         return RetrievalIndex(vocab, documents, members, global_rating_mean(base), cfg)
 
     def save(self, path: str) -> None:
@@ -214,8 +216,8 @@ def neighbours(queries: DataFrame, index: RetrievalIndex, cfg: RetrievalConfig |
         asks.groupBy("scope_id", "doc_key").agg(F.any_value("text").alias("text"), F.lit(1).alias("copies")), "q_id"
     )
     ask_vectors = vectors(term_counts(ask_docs, cfg.vocabulary, key="q_id"), index.vocab, "q_id")
-    query_docs = ask_docs.select("q_id", "scope_id").join(ask_vectors, "q_id")
-    best = similar_documents(query_docs, index.documents, cfg)
+    query_docs = materialise(ask_docs.select("q_id", "scope_id").join(ask_vectors, "q_id"))
+    best = materialise(similar_documents(query_docs, index.documents, cfg))
 
     # Expand to rows: at most pool members per document can matter, the lowest ids first.
     rows = top_per_group(index.members, ["c_id"], [F.asc("parent_asin")], cfg.pool).drop("rank")
