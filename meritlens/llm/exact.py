@@ -37,9 +37,9 @@ def exact_duplicates(
     rows = rows.select("id", F.length(F.coalesce("t", F.lit(""))).alias("points"), normalised(F.col("t")).alias("n"))
     rows = rows.withColumns({"len": F.octet_length("n"), "prefix": F.xxhash64(F.substring("n", 1, prefix))})
 
-    light = materialise(rows.select("len", "prefix"))
-    by_length = group_apart(light, ["len"], F.count("*").alias("c")).where("c > 1").drop("c")
-    by_prefix = light.join(by_length, "len", "left_semi").groupBy("len", "prefix").agg(F.count("*").alias("c")).where("c > 1")
+    sizes = materialise(rows.groupBy("len", "prefix").agg(F.count("*").alias("c")))
+    by_length = group_apart(sizes, ["len"], F.sum("c").alias("all")).where("all > 1")
+    by_prefix = sizes.join(by_length, "len", "left_semi").where("c > 1")
     bits = materialise(bit_table(by_prefix, F.xxhash64("len", "prefix")))
 
     read = maybe_member(rows, F.xxhash64("len", "prefix"), bits, "open")
