@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from meritlens.llm import bpe, exact, mixing, shards
+from meritlens.llm import bpe, exact, minhash, mixing, shards
 from meritlens.llm.common import table
 
 QUERIES = {
+    "op1_minhash_dedup": lambda s, d: minhash.op1_minhash_dedup(table(s, d, "documents")),
     "op3_exact_dedup": lambda s, d: exact.op3_exact_dedup(table(s, d, "documents")),
     "op7_source_mixing": lambda s, d: mixing.op7_source_mixing(table(s, d, "documents")),
     "op8_sharding": lambda s, d: shards.op8_sharding(table(s, d, "documents")),
     "op10_bpe": lambda s, d: bpe.op10_bpe(table(s, d, "documents")),
 }
 ORACLES = {
+    "op1_minhash_dedup": minhash.OP1_SQL,
     "op3_exact_dedup": exact.OP3_SQL,
 }
