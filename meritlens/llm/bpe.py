@@ -24,6 +24,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from meritlens.llm.common import new_folder
 
@@ -528,7 +529,7 @@ def encode(docs: DataFrame, artifact: str, text_col: str = "text", ids_col: str
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids_col])
 
     kept = docs.drop(ids_col)
-    return kept.mapInArrow(run, kept.schema.add(ids_col, "array<int>"))
+    return kept.mapInArrow(run, StructType([*kept.schema, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
 def decode(docs: DataFrame, artifact: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -545,7 +546,7 @@ def decode(docs: DataFrame, artifact: str, ids_col: str = "ids", text_col: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
 
     kept = docs.drop(text_col)
-    return kept.mapInArrow(run, kept.schema.add(text_col, "string"))
+    return kept.mapInArrow(run, StructType([*kept.schema, StructField(text_col, StringType())]))
 
 
 def digests(docs: DataFrame, artifact: str, text_col: str = "text") -> DataFrame:
