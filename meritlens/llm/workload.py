@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from meritlens.llm import bpe, exact, minhash, mixing, shards, vectors
+from meritlens.llm import bpe, exact, minhash, mixing, shards, vectors, warc
 from meritlens.llm.common import table
 
 QUERIES = {
     "op1_minhash_dedup": lambda s, d: minhash.op1_minhash_dedup(table(s, d, "documents")),
     "op3_exact_dedup": lambda s, d: exact.op3_exact_dedup(table(s, d, "documents")),
+    "op4_warc": lambda s, d: warc.op4_warc(table(s, d, "pages")),
     "op6_embedding_dedup": lambda s, d: vectors.op6_embedding_dedup(table(s, d, "embeddings")),
     "op7_source_mixing": lambda s, d: mixing.op7_source_mixing(table(s, d, "documents")),
     "op8_sharding": lambda s, d: shards.op8_sharding(table(s, d, "documents")),
@@ -17,4 +18,5 @@ ORACLES = {
     "op6_embedding_dedup": vectors.OP6_SQL,
     "op1_minhash_dedup": minhash.OP1_SQL,
     "op3_exact_dedup": exact.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
 }
