@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meritlens.llm import bpe, exact, minhash, mixing, shards, vectors, warc
+from meritlens.llm import bpe, exact, lines, minhash, mixing, shards, vectors, warc
 from meritlens.llm.common import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_embedding_dedup": lambda s, d: vectors.op6_embedding_dedup(table(s, d, "embeddings")),
     "op7_source_mixing": lambda s, d: mixing.op7_source_mixing(table(s, d, "documents")),
     "op8_sharding": lambda s, d: shards.op8_sharding(table(s, d, "documents")),
+    "op9_line_dedup": lambda s, d: lines.op9_line_dedup(table(s, d, "documents")),
     "op10_bpe": lambda s, d: bpe.op10_bpe(table(s, d, "documents")),
 }
 ORACLES = {
