@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ FILTER_BITS = 25
 _ROW_BITS = 15
 
 __all__ = [
-    "FILTER_BITS", "SPACES", "WORDS", "bit_table", "components", "drop_folder", "group_apart", "held_out", "materialise",
+    "FILTER_BITS", "SPACES", "WORDS", "bit_table", "components", "drop_folder", "group_apart", "held_out", "logistic", "materialise",
     "maybe_member", "new_folder", "table",
 ]
 
@@ -111,3 +112,13 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     return stars.union(state.select(F.col("v").alias("node"), F.col("v").alias("component"))).union(lone).groupBy("node").agg(
         F.min("component").alias("component")
     )
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weighted logistic regression with a small ridge, by Newton steps."""
+    b, weight = np.zeros(x.shape[1]), weight / weight.mean()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        pull = x.T @ (weight * (y - p)) - 0.1 * b
+        b += np.clip(np.linalg.solve((x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + 0.1 * np.eye(x.shape[1]), pull), -2, 2)
+    return b

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritlens.llm.common import held_out, materialise
+from meritlens.llm.common import held_out, logistic, materialise
 from meritlens.llm.words import CHUNK_BYTES, chunks, slice_hashes, split_words
 
 #: Words in a window; windows overlap by a quarter.
@@ -258,20 +258,10 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, epochs: int =
     held = np.flatnonzero(~fit)
     held = held if len(set(toxic[held].tolist())) == 2 else np.arange(len(texts))
     logit = np.maximum.reduceat(net.window_logits(net.projected(words), index, begin, size), np.cumsum(many) - many)
-    net.scale = _logistic(np.column_stack([logit, np.ones(len(logit)), np.log(many)])[held], toxic[held], weight[held])
+    net.scale = logistic(np.column_stack([logit, np.ones(len(logit)), np.log(many)])[held], toxic[held], weight[held])
     return net
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Weighted logistic regression with a small ridge, by Newton steps."""
-    b, weight = np.zeros(x.shape[1]), weight / weight.mean()
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        pull = x.T @ (weight * (y - p)) - 0.1 * b
-        b += np.clip(np.linalg.solve((x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + 0.1 * np.eye(x.shape[1]), pull), -2, 2)
-    return b
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network | float:
     """A network for ``labels`` (doc_id, toxic) of rows that are not held out.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from meritlens.llm import bpe, exact, lines, minhash, mixing, shards, toxicity, vectors, warc
+from meritlens.llm import bpe, exact, langid, lines, minhash, mixing, shards, toxicity, vectors, warc
 from meritlens.llm.common import table
 
 QUERIES = {
     "op1_minhash_dedup": lambda s, d: minhash.op1_minhash_dedup(table(s, d, "documents")),
+    "op2_language": lambda s, d: langid.op2_language(table(s, d, "documents")),
     "op3_exact_dedup": lambda s, d: exact.op3_exact_dedup(table(s, d, "documents")),
     "op4_warc": lambda s, d: warc.op4_warc(table(s, d, "pages")),
     "op5_toxicity": lambda s, d: toxicity.op5_toxicity(table(s, d, "documents"), table(s, d, "labels")),
