@@ -24,9 +24,9 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from meritlens.llm.common import new_folder
+from meritlens.llm.common import materialise, new_folder
 
 #: Most words of the lexicon besides special tokens, and the share of a block's words that makes a word frequent.
 LEXICON, FREQUENT = 1 << 17, 1e-6
@@ -382,7 +382,15 @@ def frequent_words(docs: DataFrame, text_col: str = "text", share: float = FREQU
 
     counted = docs.select(text_col).mapInArrow(count, "word string, n long")
     counted = counted.where("word != '' AND NOT word RLIKE '\\\\s' AND octet_length(word) < 40").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = materialise(counted)
+    # Words by steps of their count: as many whole steps from the top as fit, so only the lexicon reaches the driver.
+    step = F.floor(F.log2(F.col("n")) * 8).cast("int")
+    room, lowest = most, 1 << 20
+    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # some hundred rows
+        if r.words > room:
+            break
+        room, lowest = room - r.words, r.step
+    return counted.where(step >= lowest).orderBy(F.desc("n"), "word").toArrow().column("word").to_pylist()
 
 
 def compile_lexicon(spark: SparkSession, words: list[str], tokenizer: str) -> str:
@@ -549,27 +557,32 @@ def decode(docs: DataFrame, artifact: str, ids_col: str = "ids", text_col: str =
     return kept.mapInArrow(run, StructType([*kept.schema, StructField(text_col, StringType())]))
 
 
-def digests(docs: DataFrame, artifact: str, text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass and keep counts and digests only: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(docs: DataFrame, artifact: str, keep: list[str], ids: bool = False, text_col: str = "text") -> DataFrame:
+    """Encode and decode in one pass: the columns ``keep``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.named(artifact)
         for batch in batches:
-            for start, texts in _chunks(batch, "text"):
-                ids, counts = codec.encode(texts)
-                decoded = codec.decode(ids, counts)
-                raw, stop = ids.astype("<u4"), np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(start, len(texts)),
-                        pa.array(counts),
-                        pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip((stop - counts).tolist(), stop.tolist(), strict=True)]),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return docs.select("doc_id", F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for start, texts in _chunks(batch, "_encoded"):
+                tokens, counts = codec.encode(texts)
+                decoded = codec.decode(tokens, counts)
+                raw, stop = tokens.astype("<u4"), np.cumsum(counts)
+                columns = [
+                    *batch.slice(start, len(texts)).columns[:-1],
+                    pa.array(counts),
+                    pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip((stop - counts).tolist(), stop.tolist(), strict=True)]),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
+                ]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(np.append(0, stop).astype(np.int32), pa.array(tokens.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    source = docs.select(*keep, F.col(text_col).alias("_encoded"))
+    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    fields += [StructField("ids", ArrayType(IntegerType()))] * ids
+    schema = StructType([*source.schema[:-1], *fields])
+    names = schema.names
+    return source.mapInArrow(run, schema)
 
 
 def default_tokenizer() -> str:
@@ -578,7 +591,11 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def op10_bpe(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Encode and decode all texts; null is the empty text, repeated rows are encoded each."""
+def tokenise(docs: DataFrame, keep: list[str], tokenizer: str | None = None, ids: bool = False) -> DataFrame:
+    """Digests (and ids) of all texts with the lexicon of their own frequent words; null is the empty text."""
     artifact = compile_lexicon(docs.sparkSession, frequent_words(docs), tokenizer or default_tokenizer())
-    return digests(docs, artifact)
+    return digests(docs, artifact, keep, ids)
+
+
+def op10_bpe(docs: DataFrame) -> DataFrame:
+    return tokenise(docs, ["doc_id"])
