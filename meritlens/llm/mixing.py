@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ SHARD_ROWS = 1024
 #: A block has at most so many words, and the smallest target at least BLOCKS blocks.
 BLOCK_WORDS, BLOCKS = 1024, 1000
 SEED = 17
+_WORD = re.compile(WORDS)
 
 
 def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
@@ -139,5 +141,35 @@ def mix(
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mixture as rows of ``docs``: a row for each whole time a document is taken, and one for a part, cut after its words.
+
+    Rows that repeat an id, a source and a size share what is taken of them evenly, rounded down.
+    """
+    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.expr("sum(taken) DIV count(*)").alias("_taken"))
+    taken = taken.select(F.struct("doc_id", "source", "size").alias("_key"), "_taken")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, words: pd.Series) -> pd.Series:
+        """The text up to the end of a word."""
+        out = []
+        for text, n in zip(texts, words, strict=True):
+            if text is not None:
+                for k, m in enumerate(_WORD.finditer(text), 1):
+                    if k == n:
+                        text = text[: m.end()]
+                        break
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    keyed = docs.withColumn("_key", F.struct("doc_id", "source", size.alias("size"))).join(taken, "_key").where("_taken > 0")
+    keyed = keyed.withColumns({"_times": F.expr("_taken DIV _key.size"), "_part": F.expr("_taken % _key.size")})
+    rows = keyed.withColumn("_k", F.explode(F.expr("sequence(1, CAST(_times + sign(_part) AS INT))"))).where("_k >= 1")
+    part = cut(F.when(F.col("_k") > F.col("_times"), F.col("text")), F.col("_part"))
+    text = F.when(F.col("_k") > F.col("_times"), part).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(*docs.columns)
+
+
 def op7_source_mixing(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from meritlens.llm.common import held_out, logistic, materialise
 from meritlens.llm.words import CHUNK_BYTES, chunks, slice_hashes, split_words
@@ -21,7 +22,8 @@ SAMPLE, SAMPLE_CHARS = 3000, 10_000_000
 HIDDEN, ATTENTION, EMBED, ROOM, COUNTED = 8, 8, 4, 1 << 12, 1 << 20
 GRAMS = (4, 6)
 THRESHOLD = 0.7
-EPOCHS, BATCH, RATE, SEED = 12, 256, 0.01, 7
+#: Passes over the sample, more where they are fewer than STEPS steps of BATCH texts.
+EPOCHS, STEPS, BATCH, RATE, SEED = 10, 600, 64, 0.01, 7
 _BREAKS = np.ones(256, bool)
 _BREAKS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -200,7 +202,7 @@ class Network:
         return 1 / (1 + np.exp(-(self.scale[0] * logit + self.scale[1] + self.scale[2] * np.log(many))))
 
 
-def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
+def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = SEED) -> Network:
     """Fit on whole texts with labels: only the most toxic window of a text, as scored so far, is fitted to its label.
 
     Four fifths train the network, the rest calibrates its logits; ``weight`` is the number of rows of
@@ -225,6 +227,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, epochs: int =
     inputs = net.inputs(words)
     sums = np.append(0, np.cumsum(np.maximum(inputs[:, :2].max(axis=1), 0)[words.index]))
     toxic_by = sums[begin + size] - sums[begin]
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(int(fit.sum()), 1)))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for epoch in range(epochs):
@@ -288,8 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([r.t or "" for r in rows], toxic, np.array([1 / share[r.toxic] for r in rows]))
 
 
-def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row: all overlapping windows of the whole text are scored, the highest counts.
+def score(docs: DataFrame, model: Network | float, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and ``score`` of every row: all overlapping windows of the whole text are scored, the highest counts.
 
     Null, empty and wordless texts have one empty window and the score that the network gives to it.
     """
@@ -298,14 +301,19 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in chunks(batch, most=CHUNK_BYTES // 2):
-                p = np.full(len(part), model) if isinstance(model, float) else model.probability(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.astype(np.float64))], ["id", "score"])
+            for part in chunks(batch, batch.num_columns - 1, CHUNK_BYTES // 2):
+                p = np.full(len(part), model) if isinstance(model, float) else model.probability(part.column(batch.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p.astype(np.float64))], [*keep, "score"])
 
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double")
+    source = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("_scored"))
+    return source.mapInArrow(run, StructType([*source.schema[:-1], StructField("score", DoubleType())]))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of documents that the network, fitted on them and their labels, does not reject."""
+    return score(docs, fit(docs, labels), docs.columns).where(F.col("score") < threshold).drop("score")
 
 
 def op5_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = score(docs, fit(docs, labels)).withColumnRenamed("id", "doc_id")
+    scored = score(docs, fit(docs, labels), ["doc_id"])
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
