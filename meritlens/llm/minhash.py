@@ -16,6 +16,8 @@ from meritlens.llm.words import chunks, mixed, slice_hashes, split_words
 BANDS, ROWS = 40, 5
 #: Positions of the second permutation; the first one is a bijection of 64-bit hashes, cut to so many.
 PLACES = 1 << 20
+#: Rounds in which a bucket compares one pivot with its other components, before the rest is searched by rare shingles.
+PIVOTS = 1
 _ORDER = 0xD6E8FEB86659FD93  # odd multiples of it tell the words of a shingle apart
 _SECOND = np.random.default_rng(1009).permutation(PLACES).astype(np.int32)
 
@@ -105,9 +107,10 @@ def near_duplicates(
     Linked are rows whose sets of word shingles (A-Z lower-cased) have 100 * intersection >= percent
     * union. Equal sets are one class with its smallest id as representative. Representatives that
     share a band are candidates; in each bucket a pivot is compared with all members of other
-    components, links join components, and the next pivot follows, until the members of different
-    components that no pivot has met are few enough to be compared directly. So each round is linear
-    in the size of a bucket and no pair of a bucket whose link could join two components is left out.
+    components and links join components. After PIVOTS rounds, each linear in the size of a bucket,
+    what is left are members of different components that no pivot has met: of those, pairs that share
+    one of their rarest shingles are compared. Sets of the asked similarity always do, and passages
+    that many documents share do not make pairs.
     All links are confirmed on the full sets, which are computed again from the texts of candidates
     only.
 
@@ -137,16 +140,14 @@ def near_duplicates(
         left, size = spread.agg(F.sum("pairs")).first()[0] or 0, members.count()
         if left == 0:
             break
-        last = left <= max(1000, size)
+        last = len(links) >= PIVOTS or left <= max(1000, size)
         if last:
-            a, b = members.where("NOT used").alias("a"), members.where("NOT used").alias("b")
-            met = a.join(b, F.expr("a.key = b.key AND a.id < b.id AND a.label != b.label"))
-            pairs = met.select(F.col("a.id").alias("p"), F.col("b.id").alias("x"), F.col("a.n").alias("pn"), F.col("b.n").alias("n"))
+            pairs = _by_rare_shingles(members.where("NOT used").select("id", "label").distinct(), sets, percent)
         else:
             pivots = group_apart(members.where("NOT used"), ["key"], F.min(F.struct("label", "id", "n")).alias("pivot"))
             met = members.join(pivots, "key")
             pairs = met.where("label != pivot.label").select(F.col("pivot.id").alias("p"), F.col("id").alias("x"), F.col("pivot.n").alias("pn"), "n")
-        pairs = pairs.where(f"100 * least(n, pn) >= {percent} * greatest(n, pn)").select("p", "x").distinct()
+            pairs = pairs.where(f"100 * least(n, pn) >= {percent} * greatest(n, pn)").select("p", "x").distinct()
         found = materialise(_linked(materialise(pairs), sets, percent))
         links.append(found)
         if last:
@@ -168,6 +169,47 @@ def near_duplicates(
     )
 
 
+def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, x) of different labels that may reach the similarity, by the rarest shingles of their sets.
+
+    Two sets of that similarity share a shingle among the first n - ceil(n * percent / 100) + 1 of
+    each in any common order, and what may follow that shingle bounds their intersection. The order
+    here is by the counts of a table of fixed size, then by hash, so it needs no join.
+    """
+    spark = nodes.sparkSession
+    ids = bit_table(nodes, F.xxhash64("id"))
+    own = materialise(maybe_member(sets, F.xxhash64("id"), ids, "hit").where("hit").drop("hit").join(nodes, "id"))
+    counted = own.select(F.explode("s").alias("g")).groupBy(F.shiftrightunsigned("g", 44).cast("int").alias("place")).agg(F.count("*").alias("c")).toArrow()
+    table = np.zeros(PLACES, np.int64)
+    table[counted.column("place").to_numpy()] = counted.column("c").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rank, size, token = [], [], [], []
+            for i, s in enumerate(batch.column("s")):
+                s = s.values.to_numpy().view(np.uint64)
+                n = len(s)
+                first = np.lexsort((s, shared.value[(s >> np.uint64(44)).astype(np.int64)]))[: n - -(-n * percent // 100) + 1]
+                at.append(np.full(len(first), i))
+                rank.append(np.arange(len(first)))
+                size.append(np.full(len(first), n))
+                token.append(s[first].view(np.int64))
+            if at:
+                at = pa.array(np.concatenate(at))
+                columns = [batch.column("id").take(at), batch.column("label").take(at)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate(c)) for c in (rank, size, token))], ["id", "label", "rank", "n", "token"])
+
+    rare = own.select("id", "label", "s").mapInArrow(run, "id long, label long, rank long, n long, token long")
+    several = group_apart(rare, ["token"], F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    rare = materialise(rare.join(several, "token"))
+    a, b = rare.alias("a"), rare.alias("b")
+    room = "least(a.n - a.rank, b.n - b.rank)"  # this shingle and all after it
+    fits = f"{100 + percent} * ({room}) >= {percent} * (a.n + b.n) AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+    met = a.join(b, F.expr(f"a.token = b.token AND a.id < b.id AND a.label != b.label AND {fits}"))
+    return met.select(F.col("a.id").alias("p"), F.col("b.id").alias("x")).distinct()
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -185,6 +227,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * met >= percent * (F.size("sx") + F.size("sp") - met)).select("p", "x").distinct()
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """Rows of ``docs`` whose id stands for its group; only rows whose id may be dropped meet the list of dropped ids."""
+    gone = materialise(near_duplicates(docs, id_col, **options).where("NOT kept").select(F.col("id").alias("_id")).distinct())
+    marked = maybe_member(docs, F.xxhash64(F.col(id_col).cast("long")), bit_table(gone, F.xxhash64("_id")), "_maybe")
+    checked = marked.where("_maybe").join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    return marked.where("NOT _maybe").unionByName(checked).drop("_maybe")
+
+
 def op1_minhash_dedup(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, words=4).withColumnRenamed("id", "doc_id")
 
