@@ -481,8 +481,8 @@ class Codec:
 
         place = look_up(data, begin, length, model)
         ends = model["lexicon_end"]
-        count = np.where(place >= 0, ends[place] - np.where(place > 0, ends[place - 1], 0), 0)
-        offset = np.where(place > 0, ends[place - 1], 0)
+        offset = np.where(place > 0, ends[np.maximum(place - 1, 0)], 0)
+        count = np.where(place >= 0, ends[place] - offset, 0)
         flat = model["lexicon_ids"]
         unseen = np.flatnonzero(place < 0)
         if len(unseen):
