@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = lines.drop_lines(docs).drop("n_dropped")
+    cut = lines.drop_lines(docs, count_col="_dropped")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -291,8 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([r.t or "" for r in rows], toxic, np.array([1 / share[r.toxic] for r in rows]))
 
 
-def score(docs: DataFrame, model: Network | float, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score`` of every row: all overlapping windows of the whole text are scored, the highest counts.
+def score(docs: DataFrame, model: Network | float, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The columns ``keep`` and the score of every row: all overlapping windows of the whole text are scored, the highest counts.
 
     Null, empty and wordless texts have one empty window and the score that the network gives to it.
     """
@@ -303,15 +303,15 @@ def score(docs: DataFrame, model: Network | float, keep: list[str], text_col: st
         for batch in batches:
             for part in chunks(batch, batch.num_columns - 1, CHUNK_BYTES // 2):
                 p = np.full(len(part), model) if isinstance(model, float) else model.probability(part.column(batch.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p.astype(np.float64))], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p.astype(np.float64))], [*keep, score_col])
 
     source = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("_scored"))
-    return source.mapInArrow(run, StructType([*source.schema[:-1], StructField("score", DoubleType())]))
+    return source.mapInArrow(run, StructType([*source.schema[:-1], StructField(score_col, DoubleType())]))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of documents that the network, fitted on them and their labels, does not reject."""
-    return score(docs, fit(docs, labels), docs.columns).where(F.col("score") < threshold).drop("score")
+    return score(docs, fit(docs, labels), docs.columns, score_col="_score").where(F.col("_score") < threshold).drop("_score")
 
 
 def op5_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
