@@ -379,8 +379,11 @@ def retrieval_profile(listings: DataFrame) -> DataFrame:
     ).drop("_model", "_type", "_clean", "_base", "_lead", "_combined", "_type_key")
 
 
-def query_rows(profiles: DataFrame, include_shipping: bool = True, prefer_converted_usd: bool = False) -> DataFrame:
-    """Listings as worth-buying query rows (catalog columns)."""
+def query_rows(profiles: DataFrame, include_shipping: bool = True, prefer_converted_usd: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Listings as worth-buying query rows (catalog columns), and the columns ``keep``.
+
+    parent_asin is the family key or what stands in for it; several listings may share it.
+    """
     ident = F.coalesce(
         *[F.nullif(text_or_blank(F.col(c).cast("string")), F.lit("")) for c in
           ("product_family_key", "product_id", "legacy_item_id", "rest_item_id", "source_url")],
@@ -396,6 +399,7 @@ def query_rows(profiles: DataFrame, include_shipping: bool = True, prefer_conver
     rating = finite(F.col("product_average_rating"))
     count = finite(F.col("product_rating_count"))
     return kinded.select(
+        *keep,
         ident.alias("parent_asin"),
         F.col("retrieval_title").alias("title"),
         F.coalesce("brand", F.lit("")).alias("store"),

@@ -57,12 +57,13 @@ def top_terms(rows: DataFrame, label: str, text: str, n: int = 1, min_df: int =
     if n == 2:
         m = F.greatest(F.size(words) - 1, F.lit(0))
         words = F.zip_with(F.slice(words, F.lit(1), m), F.slice(words, F.lit(2), m), lambda a, b: F.concat_ws(" ", a, b))
-    # One pass: every occurrence counts, and the first of a text counts it as one document.
-    marked = rows.select(label, words.alias("g")).select(label, "g", F.posexplode("g").alias("at", "term"))
-    first = F.array_position("g", F.col("term")) == F.col("at") + 1
+    # One pass: every occurrence counts, and each distinct term of a text counts it as one document.
+    every = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(0).alias("text")))
+    once = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.lit(1).alias("text")))
+    marked = rows.select(label, F.explode(F.concat(every, once)).alias("x")).select(label, "x.term", "x.text")
     kept = (
         marked.groupBy(label, "term")
-        .agg(F.count("*").alias("count"), F.count_if(first).alias("df"))
+        .agg(F.count_if(F.col("text") == 0).alias("count"), F.sum("text").alias("df"))
         .where(F.col("df") >= min_df)
     )
     return top_per_group(kept, [label], [F.desc("count"), F.asc("term")], top).select(label, "term", "count", "rank")

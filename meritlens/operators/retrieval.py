@@ -192,17 +192,20 @@ class RetrievalIndex:
         )
 
 
-def neighbours(queries: DataFrame, index: RetrievalIndex, cfg: RetrievalConfig | None = None) -> DataFrame:
+def neighbours(queries: DataFrame, index: RetrievalIndex, cfg: RetrievalConfig | None = None, key: str = "parent_asin") -> DataFrame:
     """Up to k most similar indexed rows per query row, of the same listing kind.
 
     Queries need parent_asin, listing_kind and product_document. A kind that the index does not
     name searches the whole catalog; a kind that is not allowed finds nothing. ``cfg`` may
-    override k and the similarity floor of the index.
+    override k and the similarity floor of the index. ``key`` names the unique query key that the
+    result carries as query_id; parent_asin only keeps a query from finding its own product, and
+    queries may share it.
     """
     cfg = cfg or index.cfg
     named = index.documents.where(F.col("scope_id") > 0).select("scope_id").distinct()
     asks = queries.select(
-        F.col("parent_asin").alias("query_id"),
+        F.col(key).alias("query_id"),
+        F.col("parent_asin").alias("own"),
         normalized_kind(F.col("listing_kind")).alias("kind"),
         document_key(F.col("product_document")).alias("doc_key"),
         F.lower("product_document").alias("text"),
@@ -211,7 +214,7 @@ def neighbours(queries: DataFrame, index: RetrievalIndex, cfg: RetrievalConfig |
     if allowed is not None:
         asks = asks.where(F.col("kind").isin(*allowed))
     asks = asks.join(F.broadcast(named.withColumnRenamed("scope_id", "_named")), F.col("_scope") == F.col("_named"), "left")
-    asks = asks.select("query_id", "doc_key", "text", F.coalesce("_named", F.lit(0)).alias("scope_id"))
+    asks = asks.select("query_id", "own", "doc_key", "text", F.coalesce("_named", F.lit(0)).alias("scope_id"))
     ask_docs = numbered(
         asks.groupBy("scope_id", "doc_key").agg(F.any_value("text").alias("text"), F.lit(1).alias("copies")), "q_id"
     )
@@ -225,10 +228,10 @@ def neighbours(queries: DataFrame, index: RetrievalIndex, cfg: RetrievalConfig |
         best.join(rows, "c_id"), ["q_id"], [F.desc("similarity"), F.asc("parent_asin")], cfg.pool
     ).drop("rank", "c_id")
     matched = (
-        asks.select("query_id", "scope_id", "doc_key")
+        asks.select("query_id", "own", "scope_id", "doc_key")
         .join(ask_docs.select("q_id", "scope_id", "doc_key"), ["scope_id", "doc_key"])
         .join(pool, "q_id")
-        .where(F.col("query_id") != F.col("parent_asin"))
+        .where(F.col("own") != F.col("parent_asin"))
     )
     return top_per_group(
         matched, ["query_id"], [F.desc("similarity"), F.asc("parent_asin")], cfg.top_k

@@ -114,8 +114,9 @@ def latest_labels(log: DataFrame, last_then_valid: bool = False) -> DataFrame:
     ``last_then_valid`` a later error hides an earlier valid record.
     """
     source = log if last_then_valid else log.where(is_valid_label())
+    order = F.struct("ingest_seq", F.coalesce("ingest_place", F.lit(0))) if "ingest_place" in log.columns else F.col("ingest_seq")
     last = source.groupBy("record_id").agg(
-        F.max_by(F.struct(*[c for c in log.columns if c != "record_id"]), "ingest_seq").alias("r")
+        F.max_by(F.struct(*[c for c in log.columns if c not in ("record_id", "ingest_place")]), order).alias("r")
     )
     rows = last.select("record_id", "r.*")
     return rows.where(is_valid_label()) if last_then_valid else rows
@@ -347,27 +348,43 @@ def annotate(
     annotator: Callable[[Sequence[str]], Sequence[str]],
     key: str,
     text: str,
-    max_text_chars: int = 1200,
+    max_text_chars: int | None = None,
     batch: int = 64,
 ) -> DataFrame:
     """Apply a user-supplied annotator to pending texts; failures become error rows.
 
-    The annotator maps a batch of texts to raw annotation texts and runs inside the tasks. The
-    text handed to it is cut to the annotator's own input limit.
+    The annotator maps a batch of texts to as many raw annotation texts and runs inside the tasks.
+    Where a batch fails or answers with another number of texts, its texts are tried one by one, so
+    one bad text fails alone. Texts are handed over whole unless ``max_text_chars`` states the
+    annotator's own input limit.
     """
+    def asked(texts: list[str]) -> list[str]:
+        answers = list(annotator(texts))
+        if len(answers) != len(texts):
+            raise ValueError(f"{len(answers)} answers for {len(texts)} texts")
+        return answers
+
+    def one(text: str) -> tuple[str | None, str | None]:
+        try:
+            return asked([text])[0], None
+        except Exception as exc:  # noqa: BLE001 - a failed call is data, not a job failure
+            return None, str(exc)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
+                texts = part["t"].tolist()
                 try:
-                    raw, failed = list(annotator(part["t"].tolist())), None
-                except Exception as exc:  # noqa: BLE001 - a failed call is data, not a job failure
-                    raw, failed = [None] * len(part), str(exc)
-                yield pd.DataFrame({"record_id": part["k"], "raw": raw, "call_error": failed})
+                    results = [(raw, None) for raw in asked(texts)]
+                except Exception:  # noqa: BLE001 - which text failed is found one by one
+                    results = [one(t) for t in texts]
+                raw, failed = zip(*results, strict=True)
+                yield pd.DataFrame({"record_id": part["k"], "raw": raw, "call_error": failed}, dtype=object)
 
     sent = pending.select(
         F.col(key).cast("string").alias("k"),
-        F.substr(clean(F.col(text)), F.lit(1), F.lit(max_text_chars)).alias("t"),
+        (clean(F.col(text)) if max_text_chars is None else F.substr(clean(F.col(text)), F.lit(1), F.lit(max_text_chars))).alias("t"),
     )
     answers = sent.mapInPandas(run, "record_id string, raw string, call_error string")
     parsed = parse_annotations(answers)

@@ -39,8 +39,8 @@ def valued_listings(
             }
         )
     )
-    rows = L.query_rows(profiles, include_shipping, prefer_converted_usd)
-    found = R.neighbours(rows, index, retrieval)
+    rows = L.query_rows(profiles, include_shipping, prefer_converted_usd, ("query_id",))
+    found = R.neighbours(rows, index, retrieval, "query_id")
     context = materialise(L.listing_context(profiles, L.reranked(found, profiles, market), market))
     base = profiles.select(
         "query_id", "source_url", "title", F.col("listing_price").alias("price"), "total_price_currency",

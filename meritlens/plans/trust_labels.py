@@ -14,14 +14,11 @@ from ..sources import writers as K
 
 def annotate_and_log(
     frame: DataFrame, log_path: str, batch_seq: int, annotator: Callable[[Sequence[str]], Sequence[str]],
-    key: str, text: str, domain: str, max_calls: int | None = None, first_run: bool = False,
+    key: str, text: str, domain: str, max_calls: int | None = None,
 ) -> DataFrame:
     """Annotate rows without a valid label, append the answers, and return the labelled rows."""
     spark = frame.sparkSession
-    if first_run:
-        todo = frame if max_calls is None else frame.orderBy(key).limit(max_calls)
-    else:
-        todo = T.pending_rows(frame, K.read_labels(spark, log_path), key, text, max_calls)
+    todo = T.pending_rows(frame, K.read_labels(spark, log_path), key, text, max_calls)
     K.append_labels(T.annotate(todo, annotator, key, text).withColumn("domain", F.lit(domain)), log_path, batch_seq)
     return T.labelled_rows(frame, K.read_labels(spark, log_path), key)
 

@@ -18,10 +18,15 @@ from ..operators.trust import product_text
 from .schemas import PREPARED_PRODUCT, PREPARED_REVIEW, RAW_REVIEW, SELLER_CASES, ddl, require_columns, resolve_column
 
 
-def read_reviews(spark: SparkSession, path: str | Sequence[str], max_rows: int | None = None) -> DataFrame:
+def read_json(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """JSON lines (plain or gzip), or one document per file; a malformed line fails the read instead of turning into nulls."""
+    reader = spark.read.option("mode", "FAILFAST").option("multiLine", multi_line)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def read_reviews(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Raw review lines (plain or gzip); blank lines are skipped by the reader."""
-    rows = spark.read.schema(ddl(RAW_REVIEW)).json(path)
-    return limited(with_review_fallbacks(rows), max_rows)
+    return with_review_fallbacks(read_json(spark, path, ddl(RAW_REVIEW)))
 
 
 def with_review_fallbacks(rows: DataFrame) -> DataFrame:
@@ -34,21 +39,17 @@ def with_review_fallbacks(rows: DataFrame) -> DataFrame:
     ).drop("helpful_vote", "sort_timestamp")
 
 
-def limited(rows: DataFrame, max_rows: int | None) -> DataFrame:
-    return rows if max_rows is None else rows.limit(max_rows)
-
-
-def read_prepared_reviews(spark: SparkSession, path: str, positive_threshold: int, max_rows: int | None = None) -> DataFrame:
-    return limited(relabel(spark.read.schema(ddl(PREPARED_REVIEW)).json(path), positive_threshold), max_rows)
+def read_prepared_reviews(spark: SparkSession, path: str, positive_threshold: int) -> DataFrame:
+    return relabel(read_json(spark, path, ddl(PREPARED_REVIEW)), positive_threshold)
 
 
-def read_prepared_catalog(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    return limited(normalise_catalog(spark.read.schema(ddl(PREPARED_PRODUCT)).json(path)), max_rows)
+def read_prepared_catalog(spark: SparkSession, path: str) -> DataFrame:
+    return normalise_catalog(read_json(spark, path, ddl(PREPARED_PRODUCT)))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Header CSV with quoted line breaks and doubled quotes."""
-    return spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"')
+def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """Header CSV with doubled quotes. ``multi_line`` allows quoted line breaks, at the price of one task per file."""
+    return spark.read.csv(path, sep=sep, header=True, multiLine=multi_line, quote='"', escape='"')
 
 
 def labelled_reviews(raw: DataFrame, target_rows: int = 0, key: str | None = None, seed: int = 42) -> DataFrame:
@@ -77,9 +78,9 @@ def truth_labelled(raw: DataFrame, key: str, target_rows: int = 0, seed: int = 4
 def read_truth_labelled(spark: SparkSession, path: str, key: str, target_rows: int = 0, seed: int = 42) -> DataFrame:
     suffix = path.rsplit(".", 1)[-1].lower()
     if suffix in ("csv", "tsv"):
-        raw = read_csv(spark, path, "\t" if suffix == "tsv" else ",")
+        raw = read_csv(spark, path, "\t" if suffix == "tsv" else ",", multi_line=True)
     elif suffix in ("json", "jsonl"):
-        raw = spark.read.option("multiLine", suffix == "json").json(path)
+        raw = read_json(spark, path, multi_line=suffix == "json")
     else:
         raise ValueError(f"unsupported extension: {suffix}")
     return truth_labelled(raw, key, target_rows, seed)
@@ -114,9 +115,9 @@ def polarity_rows(raw: DataFrame, key: str, max_rows: int | None = None, seed: i
     return rows if max_rows is None else sample_rows(rows, key, max_rows, seed)
 
 
-def read_seller_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Texts per case, and the cases without any."""
-    return seller_case_texts(spark.read.schema(ddl(SELLER_CASES)).option("multiLine", True).json(path))
+def read_seller_cases(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Texts per case, and the cases without any; one document per file, or JSON lines."""
+    return seller_case_texts(read_json(spark, path, ddl(SELLER_CASES), multi_line))
 
 
 def embedding_texts(raw: DataFrame, title: str, bullets: str, description: str) -> DataFrame:

@@ -30,13 +30,19 @@ def write_catalog(rows: DataFrame, path: str) -> None:
 
 
 def append_labels(rows: DataFrame, path: str, batch_seq: int) -> None:
-    """Append label records; a later batch outranks an earlier one.
+    """Append label records; a later batch outranks an earlier one, and in a batch a later row an earlier one.
 
-    Records keep a caller's ingest_seq; otherwise it is the batch number.
+    Records keep a caller's ingest_seq; otherwise it is the batch number. ingest_place numbers the
+    rows of a batch in their order and is fixed once written.
     """
     out = rows if "ingest_seq" in rows.columns else rows.withColumn("ingest_seq", F.lit(batch_seq).cast("bigint"))
+    out = out.withColumn("ingest_place", F.monotonically_increasing_id())
     out.write.mode("append").parquet(path)
 
 
 def read_labels(spark: SparkSession, path: str, last_then_valid: bool = False) -> DataFrame:
-    return latest_labels(spark.read.parquet(path), last_then_valid)
+    """Latest label per id; a log that does not exist yet has none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "record_id string")
+    return latest_labels(spark.read.option("mergeSchema", True).parquet(path), last_then_valid)

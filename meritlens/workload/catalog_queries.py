@@ -88,7 +88,7 @@ def global_rating_mean(spark, sf):
 
 def term_stats(spark, sf):
     docs = T.numbered(T.distinct_documents(views.table(spark, sf, "documents"), "text"), "doc_id")
-    cfg = T.VocabularyConfig(min_df=2, max_df=0.95, word_max_features=2000)
+    cfg = T.VocabularyConfig(min_df=2, max_df=0.95, word_max_features=40_000)
     vocab = T.vocabulary(T.term_counts(docs, cfg, ("w",)), docs, cfg)
     return vocab.select(F.substr("term", F.lit(3)).alias("term"), "df", F.round("idf", 6).alias("idf"))
 
@@ -489,7 +489,7 @@ FROM (SELECT *, {key_sql('title')} AS a, {key_sql("title || ' ' || main_category
   FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({views.quoted(terms.ENGLISH_STOP)}, x)) AS w FROM documents) d),
 stats AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM toks GROUP BY term)
 SELECT term, df, round(ln((1.0 + n) / (1.0 + df)) + 1.0, 6) AS idf FROM stats, (SELECT count(*) AS n FROM documents) c
-WHERE df >= 2 AND df <= 0.95 * n ORDER BY total DESC, term LIMIT 2000""",
+WHERE df >= 2 AND df <= 0.95 * n ORDER BY total DESC, term LIMIT 40000""",
     "tfidf_vectors": sql(["peer_vec", "peers"], "SELECT DISTINCT lower(p.product_document) AS text, term, round(w, 6) AS weight FROM peer_vec v JOIN peers p USING (parent_asin)"),
     "topk_similar": sql(["found"], "SELECT query_id, rank, parent_asin, round(price, 6) AS price, similarity, retrieval_listing_kind FROM found"),
     "peer_price": sql(["context"], "SELECT parent_asin, neighbor_count, retrieval_listing_kind, " + r6("peer_price", "average_neighbor_similarity") + " FROM context"),

@@ -18,9 +18,12 @@ from .views import rounded, sql
 
 FACTORS = terms.TRUST_SCORES
 PRIMES = (37, 53, 71, 89, 101, 131, 151)
-# Coefficients of a fitted logistic trust head, used as a fixed model input.
-LOGISTIC = (0.30, -0.28, 0.68, -0.43, -0.27, 0.23, 0.63)
-INTERCEPT = -0.23
+# The published coefficients and intercept of the logistic trust head.
+LOGISTIC = (
+    0.3040340846352303, -0.28018581294285694, 0.6789268145323678, -0.4333922121215761, -0.2696802432101134, 0.2301097275848697,
+    0.6250801146127885,
+)
+INTERCEPT = -0.2308537825126966
 
 
 def review_rows(spark, sf):
@@ -249,7 +252,7 @@ def feedback_texts(spark, sf):
         F.col("text").alias("comment_text"),
         ((F.col("conv_id") + F.col("turn")) % 9 == 0).alias("removed"),
     )
-    return W.feedback_texts(entries, 2).select("seller_id", F.array_join("seller_feedback_texts", " || ").alias("texts"))
+    return W.feedback_texts(entries).select("seller_id", F.array_join("seller_feedback_texts", " || ").alias("texts"))
 
 
 def scored_reviews(spark, sf):
@@ -666,7 +669,7 @@ JOIN (VALUES ('low'), ('median'), ('high')) v(position) ON i = CASE position WHE
     "length_medians": sql(["texts"], f"SELECT CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, label_truth, quantile_cont(CAST({words_sql('text')} AS DOUBLE), 0.5) AS word_len, quantile_cont(CAST(length(text) AS DOUBLE), 0.5) AS char_len FROM texts GROUP BY 1, 2"),
     "label_balance": sql(["texts"], "SELECT lang, count(*) AS rows, round(avg(CASE WHEN label_truth = 1 THEN 1.0 ELSE 0.0 END) * 100, 2) AS positive_pct, round(avg(CASE WHEN label_truth = 0 THEN 1.0 ELSE 0.0 END) * 100, 2) AS negative_pct FROM texts GROUP BY lang"),
     "first_examples": sql(["texts"], "SELECT label_truth, doc_id, CAST(r AS INT) AS rank, text FROM (SELECT *, row_number() OVER (PARTITION BY label_truth ORDER BY doc_id) AS r FROM texts) q WHERE r <= 3"),
-    "feedback_texts": "SELECT conv_id AS seller_id, string_agg(text, ' || ' ORDER BY turn) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role <> 'assistant' AND (conv_id + turn) % 9 <> 0 AND text <> '') q WHERE r <= 2 GROUP BY conv_id",
+    "feedback_texts": "SELECT conv_id AS seller_id, string_agg(text, ' || ' ORDER BY turn) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role <> 'assistant' AND (conv_id + turn) % 9 <> 0 AND text <> '') q WHERE r <= 10 GROUP BY conv_id",
 }
 
 V["fused"] = (

@@ -71,7 +71,7 @@ def labelled_source(spark, sf):
         "doc_id", F.when(k % 6 != 0, F.col("text")).otherwise(" ").alias("text_"),
         F.when(k % 3 == 0, " or ").when(k % 3 == 1, "CG").otherwise("??").alias("label"),
     ).write.option("header", True).option("escape", '"').csv(path)
-    out = S.labelled_reviews(S.read_csv(spark, path))
+    out = S.labelled_reviews(S.read_csv(spark, path, multi_line=True))
     return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label_truth", F.length("text").alias("n"))
 
 
@@ -118,8 +118,7 @@ def seller_cases(spark, sf):
             )
         ).alias("cases"),
     ).write.json(path)
-    rows = spark.read.schema(S.ddl(S.SELLER_CASES)).json(path)
-    texts, empty = S.seller_case_texts(rows)
+    texts, empty = S.read_seller_cases(spark, path, multi_line=False)
     return texts.unionByName(empty, allowMissingColumns=True)
 
 

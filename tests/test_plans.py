@@ -30,10 +30,18 @@ def test_offline_value(spark, index):
 
 
 def test_pair_comparison(spark, index):
-    listings = listing_queries.listings(spark, SMALL).withColumn("product_family_key", F.col("query_id")).where("k < 40")
+    listings = listing_queries.listings(spark, SMALL).where("k < 40")
     small = R.RetrievalConfig(20, 4, 0.02)
     valued = pair_comparison.valued_listings(listings, index, retrieval=small)
     assert valued.count() == 40
+    # A shared family key neither loses nor multiplies listings: all find what they find with keys of their own.
+    status = lambda v: sorted(map(tuple, v.select("query_id", "retrieval_status", F.round("retrieved_peer_price", 6)).collect()))
+    found = [
+        status(pair_comparison.valued_listings(listings.withColumn("product_family_key", key), index, retrieval=small))
+        for key in (F.concat(F.lit("own "), "query_id"), F.lit("one family"))
+    ]
+    assert found[0] == found[1]
+    assert valued.where("retrieval_status = 'no_neighbors'").count() < 20
     pairs = spark.createDataFrame([(1, "1", "2"), (2, "3", "4")], "pair_id int, id_a string, id_b string")
     rows = pair_comparison.explained_pairs(pairs, valued).collect()
     assert len(rows) == 2 and all(len(r["explanation"]["paragraphs"]) == 4 and r["explanation"]["paragraphs"][2] for r in rows)
@@ -63,7 +71,7 @@ def test_trust_labels(spark, tmp_path):
     def works(texts):
         return ['{"claim_trust_score": 0.9, "signal_trust_score": 0.8, "heuristic_pressure_score": 0.1}'] * len(texts)
 
-    assert trust_labels.annotate_and_log(frame, path, 1, broken, "id", "text", "x", first_run=True).count() == 0
+    assert trust_labels.annotate_and_log(frame, path, 1, broken, "id", "text", "x").count() == 0
     assert trust_labels.annotate_and_log(frame, path, 2, works, "id", "text", "x", max_calls=4).count() == 4
     done = trust_labels.annotate_and_log(frame, path, 3, works, "id", "text", "x")
     assert done.count() == 6
