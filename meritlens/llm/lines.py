@@ -79,19 +79,20 @@ def recurring_lines(
     return gone.select("id", "place")
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the recurring lines cut out of its texts, and ``n_dropped``; other columns and rows stay.
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_dropped", **options) -> DataFrame:
+    """``docs`` with the recurring lines cut out of its texts, and their number; other columns and rows stay.
 
-    Texts of documents that lose no line stay as they are, where they are: a bit table tells them.
+    Texts of documents that lose no line stay as they are, where they are: a bit table tells them. The
+    list of lines to cut grows with the input, so it is never broadcast.
     """
     gone = materialise(recurring_lines(docs, id_col, text_col, **options))
     per_doc = group_apart(gone, ["id"], F.collect_set("place").alias("_gone")).withColumnRenamed("id", "_id")
     touched = maybe_member(docs, F.xxhash64(id_col), bit_table(gone, F.xxhash64("id")), "_touched")
-    same = touched.where("NOT _touched").drop("_touched").withColumn("n_dropped", F.lit(0))
-    cut = touched.where("_touched").drop("_touched").join(per_doc, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    same = touched.where("NOT _touched").drop("_touched").withColumn(count_col, F.lit(0))
+    cut = touched.where("_touched").drop("_touched").join(per_doc.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
     rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n")
     cut = cut.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rest))
-    cut = cut.withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0))).drop("_gone")
+    cut = cut.withColumn(count_col, F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))).drop("_gone")
     return same.unionByName(cut)
 
 
