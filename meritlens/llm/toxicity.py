@@ -17,7 +17,7 @@ from meritlens.llm.words import CHUNK_BYTES, chunks, slice_hashes, split_words
 #: Words in a window; windows overlap by a quarter.
 WINDOW, STRIDE = 64, 48
 #: The fit reads about so many documents of each class at most, and about so many characters of each class.
-SAMPLE, SAMPLE_CHARS = 3000, 10_000_000
+SAMPLE, SAMPLE_CHARS = 2500, 5_000_000
 #: Hidden units of a direction and of the attention; sizes of the learned and of the counted hash tables.
 HIDDEN, ATTENTION, EMBED, ROOM, COUNTED = 8, 8, 4, 1 << 12, 1 << 20
 GRAMS = (4, 6)
@@ -35,7 +35,8 @@ class Words:
         data, start, end, self.count = split_words(pc.utf8_lower(texts.cast(pa.large_string())), _BREAKS)
         data = np.concatenate([np.array([0x20], np.uint8), np.where(_BREAKS[data], np.uint8(0x20), data)])
         hashes = slice_hashes(data, start + 1, end + 1)
-        self.hash, first, self.index = np.unique(hashes, return_index=True, return_inverse=True)
+        self.hash, first, index = np.unique(hashes, return_index=True, return_inverse=True)
+        self.index = index.astype(np.int32)
         start, end = start[first], end[first] + 2  # with the space on either side
         places, sizes, owners = [], [], []
         for n in GRAMS:
@@ -46,9 +47,22 @@ class Words:
             owners.append(np.repeat(np.arange(len(first)), many))
         place, size, owner = np.concatenate(places), np.concatenate(sizes), np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        self.owner = owner[order]
-        self.gram = slice_hashes(data, place[order], place[order] + size[order])
-        self.grams = np.bincount(self.owner, minlength=len(first))
+        self.gram = (slice_hashes(data, place[order], place[order] + size[order]) & np.uint64(COUNTED - 1)).astype(np.int32)
+        self.grams = np.bincount(owner, minlength=len(first))
+
+    @classmethod
+    def of_all(cls, texts: list[str]) -> Words:
+        """Words of many texts, taken apart chunk by chunk."""
+        starts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // (CHUNK_BYTES // 4), prepend=-1))
+        parts = [cls(pa.array(texts[a:b], pa.large_string())) for a, b in zip(starts, [*starts[1:], len(texts)], strict=True)]
+        out = cls.__new__(cls)
+        out.count = np.concatenate([p.count for p in parts])
+        out.hash, first, same = np.unique(np.concatenate([p.hash for p in parts]), return_index=True, return_inverse=True)
+        before = np.cumsum([0, *(len(p.hash) for p in parts)])
+        out.index = np.concatenate([same[b + p.index].astype(np.int32) for b, p in zip(before, parts, strict=False)])
+        out.grams, out.gram = np.concatenate([p.grams for p in parts]), np.concatenate([p.gram for p in parts])
+        out.gram, out.grams = out.gram[_grams_of(out, first)], out.grams[first]
+        return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word and number of words of each window, and windows per text; a text without words has one empty window."""
@@ -76,6 +90,10 @@ def _grams_of(words: Words, rows: np.ndarray) -> np.ndarray:
     return np.repeat(first - (stop - many), many) + np.arange(int(stop[-1]) if len(stop) else 0)
 
 
+def _runs(n: int, size: int = 20_000) -> list[np.ndarray]:
+    return [np.arange(s, min(s + size, n)) for s in range(0, n, size)]
+
+
 def _places(index: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Words (window, time) of windows; ``index`` ends with a window of no words."""
     return index[np.minimum(begin[:, None] + np.arange(WINDOW), len(index) - 1)]
@@ -112,8 +130,8 @@ class Network:
         if rows is not None:
             hashes, grams, gram = hashes[rows], grams[rows], gram[_grams_of(words, rows)]
         some = np.maximum(grams, 1).astype(np.float32)
-        odds = self.gram_odds[gram & np.uint64(COUNTED - 1)]
-        char = _per_word(self.p["char"][gram & np.uint64(ROOM - 1)], grams, np.add) / some[:, None]
+        odds = self.gram_odds[gram]
+        char = _per_word(self.p["char"][gram & (ROOM - 1)], grams, np.add) / some[:, None]
         return np.column_stack([
             self.word_odds[hashes & np.uint64(COUNTED - 1)], _per_word(odds, grams, np.maximum), _per_word(odds, grams, np.add) / some,
             self.p["word"][hashes & np.uint64(ROOM - 1)], char,
@@ -121,12 +139,15 @@ class Network:
 
     def projected(self, words: Words) -> np.ndarray:
         """Inputs of all words as the recurrent layers take them; a last row of zeros stands for no word."""
-        return np.concatenate([self.inputs(words) @ self.p["in"] + self.p["in0"], np.zeros((1, 6 * HIDDEN), np.float32)])
+        out = np.zeros((len(words.hash) + 1, 6 * HIDDEN), np.float32)
+        for rows in _runs(len(words.hash)):
+            out[rows] = self.inputs(words, rows) @ self.p["in"] + self.p["in0"]
+        return out
 
     def window_logits(self, projected: np.ndarray, index: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         out = np.empty(len(begin), np.float32)
-        for s in range(0, len(begin), 2048):
-            out[s : s + 2048], _ = self.forward(projected, _places(index, begin[s : s + 2048]), size[s : s + 2048])
+        for s in range(0, len(begin), 1024):
+            out[s : s + 1024], _ = self.forward(projected, _places(index, begin[s : s + 1024]), size[s : s + 1024])
         return out
 
     @staticmethod
@@ -193,7 +214,7 @@ class Network:
         """The highest logit of all overlapping windows of each text, and the number of windows."""
         words = Words(texts)
         begin, size, many = words.windows()
-        index = np.append(words.index, np.full(WINDOW, len(words.hash)))
+        index = np.append(words.index, np.full(WINDOW, len(words.hash), np.int32))
         logits = self.window_logits(self.projected(words), index, begin, size)
         return np.maximum.reduceat(logits, np.cumsum(many) - many) if len(many) else logits, many
 
@@ -210,22 +231,22 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = S
     """
     net = Network(seed)
     draw = np.random.default_rng(seed)
-    words = Words(pa.array(texts, pa.large_string()))
+    words = Words.of_all(texts)
     fit = draw.random(len(texts)) < 0.8
     begin, size, many = words.windows()
     text = np.repeat(np.arange(len(texts)), many)
-    word_text = np.repeat(np.arange(len(texts)), words.count)
+    word_text = np.repeat(np.arange(len(texts), dtype=np.int32), words.count)
     count = lambda rows: np.bincount(words.index[rows[word_text]], minlength=len(words.hash))
     tables = []
     for rows in (fit & (toxic == 1), fit & (toxic == 0)):
         n = count(rows).astype(np.float64)
         tables.append((np.bincount((words.hash & np.uint64(COUNTED - 1)).astype(np.int64), n, COUNTED),
-                       np.bincount((words.gram & np.uint64(COUNTED - 1)).astype(np.int64), n[words.owner], COUNTED)))
+                       sum(np.bincount(words.gram[_grams_of(words, r)], np.repeat(n[r], words.grams[r]), COUNTED) for r in _runs(len(words.hash)))))
     net.word_odds, net.gram_odds = log_odds(tables[0][0], tables[1][0]), log_odds(tables[0][1], tables[1][1])
-    index = np.append(words.index, np.full(WINDOW, len(words.hash)))
-    word_slot, gram_slot = ((x & np.uint64(ROOM - 1)).astype(np.int64) for x in (words.hash, words.gram))
-    inputs = net.inputs(words)
-    sums = np.append(0, np.cumsum(np.maximum(inputs[:, :2].max(axis=1), 0)[words.index]))
+    index = np.append(words.index, np.full(WINDOW, len(words.hash), np.int32))
+    word_slot = (words.hash & np.uint64(ROOM - 1)).astype(np.int64)
+    odds = np.concatenate([net.inputs(words, r)[:, :2].max(axis=1) for r in _runs(len(words.hash))] or [np.zeros(0)])
+    sums = np.append(0, np.cumsum(np.maximum(odds, 0)[words.index]))
     toxic_by = sums[begin + size] - sums[begin]
     epochs = max(EPOCHS, -(-STEPS * BATCH // max(int(fit.sum()), 1)))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -251,7 +272,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = S
             g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
             np.add.at(g["word"], word_slot[real], dinput[:, 3 : 3 + EMBED])
             each = (dinput[:, 3 + EMBED :] / np.maximum(words.grams[real], 1)[:, None]).astype(np.float32)
-            np.add.at(g["char"], gram_slot[_grams_of(words, real)], np.repeat(each, words.grams[real], axis=0))
+            np.add.at(g["char"], words.gram[_grams_of(words, real)] & (ROOM - 1), np.repeat(each, words.grams[real], axis=0))
             step += 1
             for k, v in g.items():  # Adam with weight decay
                 one, two = moments[k]
@@ -284,11 +305,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).select("doc_id", "toxic").distinct()
     # The sample has about 2 * SAMPLE ids, so it may be sent to all tasks.
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "doc_id")
-    rows = sample.orderBy("doc_id", "t").collect()
-    toxic = np.array([r.toxic for r in rows])
+    rows = sample.select("toxic", F.coalesce("t", F.lit("")).alias("t")).orderBy("doc_id", "t").toArrow()
+    toxic = rows.column("toxic").to_numpy()
     if len(set(toxic.tolist())) < 2:
         return totals[1][0] / (totals[0][0] + totals[1][0])
-    return train([r.t or "" for r in rows], toxic, np.array([1 / share[r.toxic] for r in rows]))
+    return train(rows.column("t").to_pylist(), toxic, np.where(toxic == 1, 1 / share[1], 1 / share[0]))
 
 
 def score(docs: DataFrame, model: Network | float, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
