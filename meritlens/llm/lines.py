@@ -16,20 +16,27 @@ CONSTANT = 0.75
 ANY = "<*>"
 
 
-def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """Lines that are not blank: id, place, hashes of line, path and surroundings, and the tokens, fields masked."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """All lines: id, place, hash of the surroundings, and the line as it is."""
     pieces = docs.select("id", F.split(F.coalesce("t", F.lit("")), "\n").alias("ls"))
     hashes = F.transform("ls", lambda x: F.xxhash64(x))
     none = F.array(F.lit(None).cast("long"))
     # What stands before and after: copies of a document share it, boilerplate does not.
     zipped = F.arrays_zip("ls", F.concat(none, hashes).alias("before"), F.concat(F.slice(hashes, 2, F.size("ls")), none).alias("after"))
     placed = pieces.select("id", F.posexplode(zipped).alias("place", "one")).where("one.ls IS NOT NULL")
-    around, line = F.xxhash64("one.before", "one.after").alias("around"), F.trim(F.regexp_replace("one.ls", "[\\x20\\x09-\\x0D]+", " ")).alias("line")
-    placed = placed.select("id", "place", around, line)
+    placed = placed.select("id", "place", F.xxhash64("one.before", "one.after").alias("around"), F.col("one.ls").alias("raw"))
+    return placed
+
+
+def _parsed(placed: DataFrame, depth: int) -> DataFrame:
+    """Lines that are not blank: hashes of line and path, and the tokens as one string, fields masked."""
+    uneven = F.col("raw").rlike("[\\x09-\\x0D]|\\x20\\x20")
+    even = F.when(uneven, F.regexp_replace("raw", "[\\x20\\x09-\\x0D]+", " ")).otherwise(F.col("raw"))
+    placed = placed.withColumn("line", F.trim(even))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", ANY)).otherwise(F.col("line"))
     placed = placed.where("line != ''").withColumn("line", masked)
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return placed.select("id", "place", "around", "line", F.xxhash64(count, F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("h"))
+    return placed.select(*placed.columns, F.xxhash64(count, F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("h"))
 
 
 def recurring_lines(
@@ -48,15 +55,16 @@ def recurring_lines(
     one document whose lines go from all its rows. A line of variable fields only has no template. A
     null id is a document. Extra columns are ignored.
     """
-    lines = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), depth)
-    light = materialise(lines.select("id", "place", "around", "leaf", "h"))
+    lines = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
+    light = materialise(_parsed(lines, depth).select("id", "place", "around", "leaf", "h", F.xxhash64("raw").alias("r")))
     # Leaves without enough surroundings have no recurring template; most lines end here.
     leaves = light.groupBy("leaf", "around").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= recurs)
     busy = bit_table(leaves, F.xxhash64("leaf"))
     open_lines = materialise(maybe_member(light, F.xxhash64("leaf"), busy, "busy").where("busy").drop("busy"))
     # Tokens of the distinct lines in such leaves, read again from the texts, and how often each stands where.
-    distinct = bit_table(open_lines, F.col("h"))
-    again = maybe_member(lines.select("leaf", "h", "line"), F.col("h"), distinct, "busy").where("busy").select("leaf", "h", "line").distinct()
+    known = bit_table(open_lines, F.col("r"))
+    again = maybe_member(lines.select("raw"), F.xxhash64("raw"), known, "busy").where("busy").select("raw").distinct()
+    again = _parsed(again, depth).select("leaf", "h", "line").distinct()
     weights = open_lines.groupBy("leaf", "h", "around").agg(F.lit(1).alias("one")).groupBy("leaf", "h").agg(F.count("*").alias("n"))
     tokens = again.join(weights, ["leaf", "h"]).select("leaf", "h", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
     tokens = materialise(tokens)
