@@ -17,7 +17,8 @@ from meritlens.llm.words import chunks, mixed
 
 #: Characters of the longest n-gram.
 ORDER = 4
-#: The fit reads about so many documents and characters of each language at most; a quarter of them calibrates.
+#: The fit reads about so many documents of each language at most, and about so many characters in all, as many
+#: of each language; a quarter of them calibrates.
 SAMPLE, SAMPLE_CHARS = 1500, 2_000_000
 SEED = 23
 NO_LANGUAGE = "und"
@@ -147,9 +148,10 @@ def train(texts: list[str], languages: list[str]) -> Models:
     own = np.flatnonzero(fitted)
     codes, owner, _ = stream(pa.array([texts[i] for i in own], pa.large_string()), models.letters)
     grams, at = gram_hashes(codes), np.flatnonzero(owner >= 0)
-    lang = number[own][owner[at]]
+    lang = number[own].astype(np.int32)[owner[at]]
     count = len(names)
     kinds = [np.unique(g[at], return_index=True, return_inverse=True) for g in grams]
+    kinds = [(k, first, same.astype(np.int32)) for k, first, same in kinds]
     models.keys = [k[0] for k in kinds]
     # How often each n-gram counts: occurrences for the longest, distinct left neighbours for the others.
     counts = [None] * ORDER
@@ -213,16 +215,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Models of the languages of rows that are not held out and have a language and a text.
 
     Reads a bounded sample of each language, drawn by the hash of the id: about SAMPLE documents and
-    SAMPLE_CHARS characters are expected.
+    its part of SAMPLE_CHARS characters are expected.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("id")))
     totals = materialise(own.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("t")).alias("chars")))
-    share = F.least(F.lit(1.0), SAMPLE / F.col("docs"), SAMPLE_CHARS / F.greatest("chars", F.lit(1)))
+    share = F.least(F.lit(1.0), SAMPLE / F.col("docs"), SAMPLE_CHARS / max(totals.count(), 1) / F.greatest("chars", F.lit(1)))
     shares = totals.select("lang", share.alias("share"))
     draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
-    rows = own.join(shares, "lang").where(draw < F.col("share")).orderBy("id", "t").select("t", "lang").collect()
-    return train([r.t for r in rows], [r.lang for r in rows]) if rows else Models([], np.zeros(0, bool))
+    rows = own.join(shares, "lang").where(draw < F.col("share")).orderBy("id", "t").select("t", "lang").toArrow()
+    return train(rows.column("t").to_pylist(), rows.column("lang").to_pylist()) if len(rows) else Models([], np.zeros(0, bool))
 
 
 def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
