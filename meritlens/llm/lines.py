@@ -9,46 +9,50 @@ from meritlens.llm.common import bit_table, group_apart, materialise, maybe_memb
 
 #: Leading tokens on the path of a leaf, after the number of tokens.
 DEPTH = 3
-#: A template recurs if it stands in so many different surroundings.
+#: A template recurs if it stands in so many different documents, copies of a whole text counting once.
 RECURS = 5
+#: Lines of so many tokens are long, and lines that are a leaf of their own from so many characters (texts without
+#: spaces); few documents share them by chance, so fewer make them recur.
+LONG_TOKENS, LONG_CHARS, RECURS_LONG = 16, 100, 3
 #: Tokens after the leading ones that must be constant for a line to be of a template.
 CONSTANT = 0.75
 ANY = "<*>"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """All lines: id, place, hash of the surroundings, and the line as it is."""
-    pieces = docs.select("id", F.split(F.coalesce("t", F.lit("")), "\n").alias("ls"))
-    hashes = F.transform("ls", lambda x: F.xxhash64(x))
-    none = F.array(F.lit(None).cast("long"))
-    # What stands before and after: copies of a document share it, boilerplate does not.
-    zipped = F.arrays_zip("ls", F.concat(none, hashes).alias("before"), F.concat(F.slice(hashes, 2, F.size("ls")), none).alias("after"))
-    placed = pieces.select("id", F.posexplode(zipped).alias("place", "one")).where("one.ls IS NOT NULL")
-    placed = placed.select("id", "place", F.xxhash64("one.before", "one.after").alias("around"), F.col("one.ls").alias("raw"))
-    return placed
+    """All lines: id, hash of the whole text, place, and the line as it is."""
+    pieces = docs.where(F.col("t").isNotNull()).select("id", F.xxhash64("t").alias("text_hash"), F.split("t", "\n").alias("ls"))
+    return pieces.select("id", "text_hash", F.posexplode("ls").alias("place", "raw"))
 
 
 def _parsed(placed: DataFrame, depth: int) -> DataFrame:
-    """Lines that are not blank: hashes of line and path, and the tokens as one string, fields masked."""
+    """Lines that are not blank: hashes of line and path, whether they are long, and the tokens as one string, fields masked.
+
+    All lines of a path are long or none is.
+    """
     uneven = F.col("raw").rlike("[\\x09-\\x0D]|\\x20\\x20")
     even = F.when(uneven, F.regexp_replace("raw", "[\\x20\\x09-\\x0D]+", " ")).otherwise(F.col("raw"))
     placed = placed.withColumn("line", F.trim(even))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", ANY)).otherwise(F.col("line"))
     placed = placed.where("line != ''").withColumn("line", masked)
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return placed.select(*placed.columns, F.xxhash64(count, F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("h"))
+    long = (count >= LONG_TOKENS) | ((count <= depth) & (F.length("line") >= LONG_CHARS))
+    leaf = F.xxhash64(count, F.substring_index("line", " ", depth))
+    return placed.select(*placed.columns, leaf.alias("leaf"), F.xxhash64("line").alias("h"), long.alias("long"))
 
 
 def recurring_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, recurs: int = RECURS, constant: float = CONSTANT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, recurs: int = RECURS, constant: float = CONSTANT,
+    recurs_long: int = RECURS_LONG,
 ) -> DataFrame:
     """Lines to drop: (id, place), place counting the lines of the text from 0.
 
     Lines are parsed into a tree of fixed depth: by their number of tokens, then by their leading
-    tokens, tokens with digits being variable fields. In a leaf, a token that occurs at its position in ``recurs`` surroundings is
-    constant, others are variable fields; a line whose later tokens are constant to the share
-    ``constant`` is of the template that this leaves. A template that stands in at least ``recurs``
-    different surroundings (the lines before and after) recurs: copies of a document count once. Of a
+    tokens, tokens with digits being variable fields. In a leaf, a token that occurs at its position in ``recurs`` documents,
+    counted for every distinct line apart, is constant, others are variable fields; a line whose later tokens are constant
+    to the share ``constant`` is of the template that this leaves. A template that stands in at least ``recurs`` different
+    documents recurs, wherever it stands in them; for long lines ``recurs_long`` are enough. Documents are different if
+    their texts are: copies of a whole text count once, near copies do not. What one document repeats does not recur. Of a
     recurring template the first line, by id and place, stays and all others go.
 
     Blank lines never go; null and empty texts have no lines to drop. Rows that repeat an id count as
@@ -56,19 +60,20 @@ def recurring_lines(
     null id is a document. Extra columns are ignored.
     """
     lines = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
-    light = materialise(_parsed(lines, depth).select("id", "place", "around", "leaf", "h", F.xxhash64("raw").alias("r")))
-    # Leaves without enough surroundings have no recurring template; most lines end here.
-    leaves = light.groupBy("leaf", "around").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= recurs)
+    light = materialise(_parsed(lines, depth).select("id", "text_hash", "place", "leaf", "h", "long", F.xxhash64("raw").alias("r")))
+    need = F.when(F.col("long"), recurs_long).otherwise(recurs)
+    # Leaves without enough documents have no recurring template; most lines end here.
+    leaves = light.groupBy("leaf", "long", "text_hash").agg(F.lit(1).alias("one")).groupBy("leaf", "long").agg(F.count("*").alias("n")).where(F.col("n") >= need)
     busy = bit_table(leaves, F.xxhash64("leaf"))
     open_lines = materialise(maybe_member(light, F.xxhash64("leaf"), busy, "busy").where("busy").drop("busy"))
     # Tokens of the distinct lines in such leaves, read again from the texts, and how often each stands where.
     known = bit_table(open_lines, F.col("r"))
     again = maybe_member(lines.select("raw"), F.xxhash64("raw"), known, "busy").where("busy").select("raw").distinct()
     again = _parsed(again, depth).select("leaf", "h", "line").distinct()
-    weights = open_lines.groupBy("leaf", "h", "around").agg(F.lit(1).alias("one")).groupBy("leaf", "h").agg(F.count("*").alias("n"))
-    tokens = again.join(weights, ["leaf", "h"]).select("leaf", "h", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    weights = open_lines.groupBy("leaf", "h", "long", "text_hash").agg(F.lit(1).alias("one")).groupBy("leaf", "h", "long").agg(F.count("*").alias("n"))
+    tokens = again.join(weights, ["leaf", "h"]).select("leaf", "h", "long", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
     tokens = materialise(tokens)
-    fixed = group_apart(tokens, ["leaf", "at", "token"], F.sum("n").alias("all")).where(F.col("all") >= recurs).drop("all")
+    fixed = group_apart(tokens, ["leaf", "at", "token"], F.sum("n").alias("all"), F.first("long").alias("long")).where(F.col("all") >= need).drop("all", "long")
     marked = tokens.join(fixed.withColumn("fixed", F.lit(True)), ["leaf", "at", "token"], "left")
     shape = F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(ANY).alias("w"))
     # Templates as order-free hashes: positions with what stands there.
@@ -80,9 +85,9 @@ def recurring_lines(
     )
     shapes = shapes.where((F.col("words") > 0) & (F.col("c") >= constant * F.col("l")))
     shapes = shapes.select("leaf", "h", F.xxhash64("leaf", "n", "x").alias("template"))
-    named = materialise(open_lines.join(group_apart(shapes, ["leaf", "h"], F.first("template").alias("template")), ["leaf", "h"]).select("id", "place", "around", "template"))
-    spread = named.groupBy("template", "around").agg(F.min(F.struct("id", "place")).alias("first"))
-    recurring = group_apart(spread, ["template"], F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= recurs)
+    named = materialise(open_lines.join(group_apart(shapes, ["leaf", "h"], F.first("template").alias("template")), ["leaf", "h"]).select("id", "text_hash", "place", "long", "template"))
+    spread = named.groupBy("template", "long", "text_hash").agg(F.min(F.struct("id", "place")).alias("first"))
+    recurring = group_apart(spread, ["template", "long"], F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= need).drop("long")
     gone = named.join(recurring, "template").where(~F.struct("id", "place").eqNullSafe(F.col("first")))
     return gone.select("id", "place")
 

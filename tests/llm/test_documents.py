@@ -221,6 +221,24 @@ def test_recurring_lines(spark):
     assert lines.drop_lines(df).count() == len(rows)
 
 
+def test_recurring_lines_wherever_they_stand(spark):
+    notice, footer = "all rights to this text are kept", ["page of the old archive", "do not copy this page", "ask the keeper first"]
+    passage, signs, refrain = words(40), "漢字" * 60, "and so we sing again tonight"
+    texts = []
+    for i in range(9):
+        texts.append("\n".join([words(12), "", notice, "", words(14), *footer]))
+    texts += ["\n".join([words(11), passage, words(13), signs]) for _ in range(3)]
+    texts += ["\n".join([refrain, words(9)] * 8 + [words(10)])]
+    texts += [f"{words(9)}\n{words(8)} {k}" for k in range(4)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = counted(lines.recurring_lines(df), "id", "place")
+    want = {(i, p) for i in range(1, 9) for p in (2, 5, 6, 7)} | {(i, p) for i in (10, 11) for p in (1, 3)}
+    assert set(gone) == want
+    got = {r.doc_id: r for r in lines.drop_lines(df).collect()}
+    assert got[4].text == "\n".join(texts[4].split("\n")[k] for k in (0, 1, 3, 4)) and got[4].n_dropped == 4
+    assert all(got[i].text == texts[i] for i in (0, 9, *range(12, len(texts))))
+
+
 def test_bpe_is_exact(docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, want = Tokenizer.from_file(str(path)), Counter()
