@@ -45,7 +45,7 @@ def recurring_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, recurs: int = RECURS, constant: float = CONSTANT,
     recurs_long: int = RECURS_LONG,
 ) -> DataFrame:
-    """Lines to drop: (id, place), place counting the lines of the text from 0.
+    """Lines to drop: (id, text_hash, place), place counting the lines of the text from 0.
 
     Lines are parsed into a tree of fixed depth: by their number of tokens, then by their leading
     tokens, tokens with digits being variable fields. In a leaf, a token that occurs at its position in ``recurs`` documents,
@@ -55,9 +55,9 @@ def recurring_lines(
     their texts are: copies of a whole text count once, near copies do not. What one document repeats does not recur. Of a
     recurring template the first line, by id and place, stays and all others go.
 
-    Blank lines never go; null and empty texts have no lines to drop. Rows that repeat an id count as
-    one document whose lines go from all its rows. A line of variable fields only has no template. A
-    null id is a document. Extra columns are ignored.
+    Blank lines never go; null and empty texts have no lines to drop. A document is known by its id and
+    the hash of its text, so rows that repeat an id, or have none, lose only lines of their own; rows equal in both are
+    treated alike. A line of variable fields only has no template. Extra columns are ignored.
     """
     lines = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
     light = materialise(_parsed(lines, depth).select("id", "text_hash", "place", "leaf", "h", "long", F.xxhash64("raw").alias("r")))
@@ -86,10 +86,11 @@ def recurring_lines(
     shapes = shapes.where((F.col("words") > 0) & (F.col("c") >= constant * F.col("l")))
     shapes = shapes.select("leaf", "h", F.xxhash64("leaf", "n", "x").alias("template"))
     named = materialise(open_lines.join(group_apart(shapes, ["leaf", "h"], F.first("template").alias("template")), ["leaf", "h"]).select("id", "text_hash", "place", "long", "template"))
-    spread = named.groupBy("template", "long", "text_hash").agg(F.min(F.struct("id", "place")).alias("first"))
+    at = F.struct("id", "text_hash", "place")
+    spread = named.groupBy("template", "long", "text_hash").agg(F.min(at).alias("first"))
     recurring = group_apart(spread, ["template", "long"], F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= need).drop("long")
-    gone = named.join(recurring, "template").where(~F.struct("id", "place").eqNullSafe(F.col("first")))
-    return gone.select("id", "place")
+    gone = named.join(recurring, "template").where(~at.eqNullSafe(F.col("first")))
+    return gone.select("id", "text_hash", "place")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_dropped", **options) -> DataFrame:
@@ -99,10 +100,11 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     list of lines to cut grows with the input, so it is never broadcast.
     """
     gone = materialise(recurring_lines(docs, id_col, text_col, **options))
-    per_doc = group_apart(gone, ["id"], F.collect_set("place").alias("_gone")).withColumnRenamed("id", "_id")
-    touched = maybe_member(docs, F.xxhash64(id_col), bit_table(gone, F.xxhash64("id")), "_touched")
+    per_doc = group_apart(gone, ["id", "text_hash"], F.collect_set("place").alias("_gone")).withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
+    touched = maybe_member(docs, F.xxhash64(id_col, F.xxhash64(text_col)), bit_table(gone, F.xxhash64("id", "text_hash")), "_touched")
     same = touched.where("NOT _touched").drop("_touched").withColumn(count_col, F.lit(0))
-    cut = touched.where("_touched").drop("_touched").join(per_doc.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    own = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    cut = touched.where("_touched").drop("_touched").join(per_doc.hint("merge"), own, "left").drop("_id", "_hash")
     rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n")
     cut = cut.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rest))
     cut = cut.withColumn(count_col, F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))).drop("_gone")

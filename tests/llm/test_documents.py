@@ -239,6 +239,20 @@ def test_recurring_lines_wherever_they_stand(spark):
     assert all(got[i].text == texts[i] for i in (0, 9, *range(12, len(texts))))
 
 
+def test_rows_lose_only_lines_of_their_own(spark):
+    notice = "all rights to this text are kept"
+    texts = [f"{words(7)}\n{notice}\n{words(9)}" for _ in range(7)] + [f"{words(8)}\n{words(10)}\n{words(6)}"]
+    rows = [(i, t) for i, t in enumerate(texts[:5])] + [(None, t) for t in texts[5:]] + [(3, texts[7]), (None, None), (None, texts[6])]
+    got = Counter((r.doc_id, r.text, r.n_dropped) for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    cut = lambda t: "\n".join(t.split("\n")[::2])
+    left = {k: [r for r in got if r[0] == k and r[2] == 0] for k in (None, 3)}
+    assert (None, texts[7], 0) in left[None] and (None, None, 0) in left[None] and left[3] == [(3, texts[7], 0)]
+    kept = [r for r in got if r[1] and notice in r[1]]
+    assert len(kept) == 1 and kept[0][0] is None  # the first by id: nulls come before numbers
+    want = Counter((k, t, 0) if not t or notice not in t or (k, t, 0) in kept else (k, cut(t), 1) for k, t in rows)
+    assert got == want
+
+
 def test_bpe_is_exact(docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, want = Tokenizer.from_file(str(path)), Counter()
