@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meritlens.llm.common import held_out, logistic, materialise
@@ -20,6 +20,9 @@ ORDER = 4
 #: The fit reads about so many documents of each language at most, and about so many characters in all, as many
 #: of each language; a quarter of them calibrates.
 SAMPLE, SAMPLE_CHARS = 1500, 2_000_000
+#: It reads so many documents of a language at least, if there are so many: of long ones the first characters, but
+#: CUT of each at least, however many languages there are.
+LEAST, CUT = 16, 500
 SEED = 23
 NO_LANGUAGE = "und"
 #: Share of calibration texts of a language that count as foreign to its model.
@@ -214,16 +217,25 @@ def _occurs(kind: tuple, lang: np.ndarray, count: int) -> np.ndarray:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:
     """Models of the languages of rows that are not held out and have a language and a text.
 
-    Reads a bounded sample of each language, drawn by the hash of the id: about SAMPLE documents and
-    its part of SAMPLE_CHARS characters are expected.
+    Reads a bounded sample of each language: its first documents in the order of a hash of id and text, as many as
+    fit into its part of SAMPLE_CHARS characters, but LEAST to SAMPLE. No language with a text to learn from is left out.
+    Rows equal in id and text count once.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("id")))
-    totals = materialise(own.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("t")).alias("chars")))
-    share = F.least(F.lit(1.0), SAMPLE / F.col("docs"), SAMPLE_CHARS / max(totals.count(), 1) / F.greatest("chars", F.lit(1)))
-    shares = totals.select("lang", share.alias("share"))
-    draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
-    rows = own.join(shares, "lang").where(draw < F.col("share")).orderBy("id", "t").select("t", "lang").toArrow()
+    own = own.withColumn("draw", F.xxhash64("id", "t", F.lit(SEED)))
+    each = own.groupBy("lang", "draw").agg(F.max(F.length("t")).alias("chars"))
+    totals = materialise(each.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"), F.min("draw").alias("lowest")))
+    part = SAMPLE_CHARS / max(totals.count(), 1)
+    take = F.least(F.lit(SAMPLE), F.greatest(F.lit(LEAST), F.floor(part * F.col("docs") / F.greatest("chars", F.lit(1)))))
+    # Hashes up to here hold that many documents, but for one case in millions; the lowest hash is always among them.
+    share = F.least(F.lit(1.0), (F.col("take") + 6 * F.sqrt("take") + 18) / F.col("docs"))
+    bound = F.when(F.col("share") < 1, ((F.col("share") - 0.5) * 2.0**64).cast("long")).otherwise((1 << 63) - 1)
+    plan = totals.withColumn("take", take).withColumn("share", share).select("lang", "take", F.greatest(bound, "lowest").alias("bound"))
+    low = own.join(plan, "lang").where(F.col("draw") <= F.col("bound"))
+    low = low.groupBy("lang", "draw").agg(F.first("take").alias("take"), F.first("id").alias("id"), F.first(F.substring("t", 1, max(int(part / LEAST), CUT))).alias("t"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    rows = low.withColumn("place", place).where(F.col("place") <= F.col("take")).orderBy("id", "t", "lang").select("t", "lang").toArrow()
     return train(rows.column("t").to_pylist(), rows.column("lang").to_pylist()) if len(rows) else Models([], np.zeros(0, bool))
 
 

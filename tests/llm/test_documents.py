@@ -341,6 +341,20 @@ def test_language(spark):
     assert np.mean([got[i].lang_pred == ["xa", "xb", "xc"][i % 3] for i in held]) > 0.98
 
 
+def test_a_rare_language_of_long_texts_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 24_000)
+    spoken = lambda parts, n: " ".join("".join(draw.choice(parts) for _ in range(3)) for _ in range(n))
+    rows = [(i, spoken(["ba", "ro", "ti", "mu"] if i % 2 else ["sch", "ung", "ein", "ü"], 30), "xa" if i % 2 else "xb") for i in range(400)]
+    rows += [(1000 + i, spoken(["que", "ión", "ñ", "lla"], 4000), "xc") for i in range(12)]
+    rows += [(2000, spoken(["dzi", "ksy", "wą"], 5000), "xd"), (2000, spoken(["dzi", "ksy", "wą"], 5000), "xd")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    models = langid.fit(df)
+    assert models.languages == ["xa", "xb", "xc", "xd"]
+    new = [(0, spoken(["que", "ión", "ñ", "lla"], 20)), (1, spoken(["dzi", "ksy", "wą"], 20)), (2, spoken(["ba", "ro", "ti", "mu"], 20))]
+    got = {r.id: r.lang_pred for r in langid.identify(spark.createDataFrame(new, "doc_id long, text string"), models).collect()}
+    assert got == {0: "xc", 1: "xd", 2: "xa"}
+
+
 def test_language_models_sum_to_one():
     texts = [words(50) for _ in range(40)]
     models = langid.train(texts, ["a" if i % 2 else "b" for i in range(40)])
