@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meritlens.llm import bpe, exact, langid, lines, minhash, mixing, shards, toxicity, vectors, warc
+from meritlens.llm import align, bpe, exact, langid, lines, minhash, mixing, shards, toxicity, vectors, warc
 from meritlens.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_sharding": lambda s, d: shards.op8_sharding(table(s, d, "documents")),
     "op9_line_dedup": lambda s, d: lines.op9_line_dedup(table(s, d, "documents")),
     "op10_bpe": lambda s, d: bpe.op10_bpe(table(s, d, "documents")),
+    "op13_token_alignment": lambda s, d: align.op13_token_alignment(table(s, d, "documents")),
 }
 ORACLES = {
     "op6_embedding_dedup": vectors.OP6_SQL,
