@@ -37,24 +37,29 @@ FREQUENT_PAIRS = 1 << 20
 # Tokenizers in the tasks ----------------------------------------------------------------------------------------------
 
 
+def byte_encoding(path: str) -> tiktoken.Encoding:
+    """The encoding of a byte-level BPE file; strings of its special tokens are plain text to it."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    letters, vocab = byte_letters(), model["vocab"]
+    parts = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = {a + b for a, b in parts}
+    ranks = [vocab[a + b] for a, b in parts]
+    if ranks != sorted(ranks):
+        raise ValueError(f"{path} does not number its tokens in the order of its merges")
+    tokens = {bytes(letters[c] for c in token): i for token, i in vocab.items() if len(token) == 1 or token in made}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})
+
+
 class Pair:
     """Both tokenizers, the bytes of their tokens and the decimal texts of the ids."""
 
     def __init__(self, byte_file: str, piece_file: str) -> None:
-        with open(byte_file, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        letters, vocab = byte_letters(), model["vocab"]
-        # Specials stand beside the merged tokens; their strings in texts are plain text.
-        parts = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        made = {a + b for a, b in parts}
-        a_bytes = {i: bytes(letters[c] for c in token) for token, i in vocab.items() if len(token) == 1 or token in made}
-        ranks = [vocab[a + b] for a, b in parts]
-        if ranks != sorted(ranks):
-            raise ValueError(f"{byte_file} does not number its tokens in the order of its merges")
-        self.byte = tiktoken.Encoding("byte", pat_str=PATTERN, mergeable_ranks={b: i for i, b in a_bytes.items()}, special_tokens={})
+        self.byte = byte_encoding(byte_file)
         self.piece = sentencepiece.SentencePieceProcessor(model_file=piece_file)
-        self.sizes = max(vocab.values()) + 1, self.piece.get_piece_size()
-        self.a_bytes = self._table([a_bytes.get(i, b"") for i in range(self.sizes[0])])
+        self.sizes = self.byte.max_token_value + 1, self.piece.get_piece_size()
+        known = dict(zip(map(self.byte.encode_single_token, self.byte.token_byte_values()), self.byte.token_byte_values(), strict=True))
+        self.a_bytes = self._table([known.get(i, b"") for i in range(self.sizes[0])])
         self.b_bytes = self._table([self._piece(i) for i in range(self.sizes[1])])
         digits = [f"{i},".encode() for i in range(max(self.sizes))]
         self.digits = np.zeros((len(digits), max(map(len, digits))), np.uint8)

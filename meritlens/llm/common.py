@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meritlens.session import ensure_checkpoint_dir, materialise
@@ -17,10 +17,12 @@ WORDS = "[^\\x20\\x09-\\x0D]+"
 #: Bits of a membership table (2**25 bits are 1,024 rows of 4 KB, so 4 MB whatever the input).
 FILTER_BITS = 25
 _ROW_BITS = 15
+#: About so many rows are ordered by one task.
+PIECE_ROWS = 50_000
 
 __all__ = [
     "FILTER_BITS", "SPACES", "WORDS", "bit_table", "components", "drop_folder", "group_apart", "held_out", "logistic", "materialise",
-    "maybe_member", "new_folder", "table",
+    "maybe_member", "new_folder", "numbered", "table",
 ]
 
 
@@ -76,6 +78,36 @@ def maybe_member(df: DataFrame, hashed: Column, bits: DataFrame, flag: str) -> D
     return marked.join(F.broadcast(bits), "_row", "left").withColumn(flag, test).drop("_row", "_place", "_bits")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str] | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Add ``_at``, the place of a row among the rows of its keys from 0, and ``_n``, their number.
+
+    For each entry of ``sums`` (new column: number column) the sum over the rows up to this one is added. Rows
+    are cut into pieces by range, a key with many rows into several; pieces are summed, and rows are ordered
+    inside a piece only. Rows equal in keys and order stand in any order, next to each other.
+    """
+    sums = sums or {}
+    stored = materialise(df)
+    pieces = max(1, -(-stored.count() // piece_rows))
+    ranged = stored.repartitionByRange(pieces, *keys, *order).sortWithinPartitions(*keys, *order)
+    ranged = materialise(ranged.select("*", F.spark_partition_id().alias("_piece"), F.monotonically_increasing_id().alias("_seq")))
+    per = ranged.groupBy(*keys, "_piece").agg(
+        F.count("*").alias("_rows"), F.min("_seq").alias("_first"), *(F.sum(c).alias(f"_sum_{k}") for k, c in sums.items())
+    )
+    whole = Window.partitionBy(*keys)
+    so_far = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0))
+    starts = per.select(
+        *(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_piece").alias("_at_piece"), (before("_rows") - F.col("_first")).alias("_shift"), F.sum("_rows").over(whole).alias("_n"),
+        *(before(f"_sum_{k}").alias(f"_before_{k}") for k in sums),
+    )
+    out = ranged.join(starts, [F.col("_piece") == F.col("_at_piece"), *(F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys)])
+    out = out.select(*ranged.columns, (F.col("_seq") + F.col("_shift")).alias("_at"), "_n", *(f"_before_{k}" for k in sums))
+    if sums:
+        within = Window.partitionBy(*keys, "_piece").orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.select("*", *((F.sum(c).over(within) + F.col(f"_before_{k}")).alias(k) for k, c in sums.items()))
+    return out.drop("_piece", "_seq", *(f"_before_{k}" for k in sums))
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components: (node, component) for every node of an edge, component = its smallest node.
 

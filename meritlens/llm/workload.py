@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meritlens.llm import align, bpe, exact, langid, lines, minhash, mixing, shards, toxicity, vectors, warc
+from meritlens.llm import align, bpe, chat, exact, langid, lines, merkle, minhash, mixing, shards, toxicity, vectors, warc
 from meritlens.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_sharding": lambda s, d: shards.op8_sharding(table(s, d, "documents")),
     "op9_line_dedup": lambda s, d: lines.op9_line_dedup(table(s, d, "documents")),
     "op10_bpe": lambda s, d: bpe.op10_bpe(table(s, d, "documents")),
+    "op11_merkle_manifest": lambda s, d: merkle.op11_merkle_manifest(table(s, d, "documents")),
+    "op12_chat_format": lambda s, d: chat.op12_chat_format(table(s, d, "conversations")),
     "op13_token_alignment": lambda s, d: align.op13_token_alignment(table(s, d, "documents")),
 }
 ORACLES = {
@@ -23,4 +25,5 @@ ORACLES = {
     "op1_minhash_dedup": minhash.OP1_SQL,
     "op3_exact_dedup": exact.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
