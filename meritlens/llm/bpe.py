@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from meritlens.llm.common import materialise, new_folder
+from meritlens.llm.common import fresh, frugal, materialise, new_folder
 
 #: Most words of the lexicon besides special tokens, and the share of a block's words that makes a word frequent.
 LEXICON, FREQUENT = 1 << 17, 1e-6
-#: Characters in a block of counted words, and in a chunk that is encoded at once.
-BLOCK_CHARS, CHUNK_CHARS = 16_000_000, 1_500_000
+#: Characters in a block of counted words, in a piece of it that is counted at once, and in a chunk that is encoded at once.
+BLOCK_CHARS, PIECE_CHARS, CHUNK_CHARS = 16_000_000, 1_000_000, 1_500_000
 #: Words of more bytes are merged one by one with a heap.
 LONG_WORD = 64
 LETTER, NUMBER, OTHER, SPACE, EDGE = range(5)
@@ -360,27 +360,40 @@ def frequent_words(docs: DataFrame, text_col: str = "text", share: float = FREQU
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, chars = [], 0
+        held, chars, counts, counted_chars = [], 0, None, 0
 
-        def block() -> pa.RecordBatch:
+        def counted() -> pa.Table:
+            """The counts of the block so far, with the pieces held."""
             pieces = pc.value_counts(pc.split_pattern(pa.chunked_array(held), " ").combine_chunks().flatten())
-            total = max(1, pc.sum(pieces.field(1)).as_py() or 0)
-            many = pieces.filter(pc.greater_equal(pieces.field(1), max(1.0, share * total)))
-            words = pc.utf8_rtrim(many.field(0), characters=".,;:!?|*%$&#")
-            return pa.RecordBatch.from_arrays([words.cast(pa.string()), many.field(1)], ["word", "n"])
+            new = pa.table({"word": pieces.field(0), "n": pieces.field(1)})
+            if counts is None:
+                return new
+            both = pa.concat_tables([counts, new]).group_by("word").aggregate([("n", "sum")])
+            return both.rename_columns({"n_sum": "n"}).select(["word", "n"]).combine_chunks()
+
+        def block() -> pa.RecordBatch:
+            total = max(1, pc.sum(counts.column("n")).as_py() or 0)
+            many = counts.filter(pc.greater_equal(counts.column("n"), max(1.0, share * total))).combine_chunks()
+            words = pc.utf8_rtrim(many.column("word").combine_chunks(), characters=".,;:!?|*%$&#")
+            return pa.RecordBatch.from_arrays([words.cast(pa.string()), many.column("n").combine_chunks()], ["word", "n"])
 
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = pc.fill_null(batch.column(0).slice(start, 256), "")
+            for start in range(0, len(batch), 64):
+                part = pc.fill_null(batch.column(0).slice(start, 64), "")
                 held.append(part.cast(pa.large_string()))
                 chars += part.nbytes
-                if chars >= BLOCK_CHARS:
-                    yield block()
-                    held, chars = [], 0
+                if chars >= PIECE_CHARS:
+                    counts = counted()
+                    held, chars, counted_chars = [], 0, counted_chars + chars
+                    if counted_chars >= BLOCK_CHARS:
+                        yield block()
+                        counts, counted_chars = None, 0
         if held:
+            counts = counted()
+        if counts is not None:
             yield block()
 
-    counted = docs.select(text_col).mapInArrow(count, "word string, n long")
+    counted = docs.select(text_col).mapInArrow(frugal(count), "word string, n long")
     counted = counted.where("word != '' AND NOT word RLIKE '\\\\s' AND octet_length(word) < 40").groupBy("word").agg(F.sum("n").alias("n"))
     counted = materialise(counted)
     # Words by steps of their count: as many whole steps from the top as fit, so only the lexicon reaches the driver.
@@ -558,12 +571,19 @@ def decode(docs: DataFrame, artifact: str, ids_col: str = "ids", text_col: str =
 
 
 def digests(docs: DataFrame, artifact: str, keep: list[str], ids: bool = False, text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass: the columns ``keep``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
+    """Encode and decode in one pass: the columns ``keep``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
+
+    A null text is the empty text. Rows that repeat are encoded each; an empty table gives no rows.
+    Columns of ``keep`` that are named like one of the results give way to it.
+    """
+    results = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
+    keep = [c for c in keep if c.lower() not in results]
+    (own,) = fresh(docs, "_encoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.named(artifact)
         for batch in batches:
-            for start, texts in _chunks(batch, "_encoded"):
+            for start, texts in _chunks(batch, own):
                 tokens, counts = codec.encode(texts)
                 decoded = codec.decode(tokens, counts)
                 raw, stop = tokens.astype("<u4"), np.cumsum(counts)
@@ -577,12 +597,12 @@ def digests(docs: DataFrame, artifact: str, keep: list[str], ids: bool = False,
                     columns.append(pa.ListArray.from_arrays(np.append(0, stop).astype(np.int32), pa.array(tokens.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    source = docs.select(*keep, F.col(text_col).alias("_encoded"))
+    source = docs.select(*keep, F.col(text_col).alias(own))
     fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     fields += [StructField("ids", ArrayType(IntegerType()))] * ids
     schema = StructType([*source.schema[:-1], *fields])
     names = schema.names
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def default_tokenizer() -> str:

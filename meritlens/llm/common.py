@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ _ROW_BITS = 15
 PIECE_ROWS = 50_000
 
 __all__ = [
-    "FILTER_BITS", "SPACES", "WORDS", "bit_table", "components", "drop_folder", "group_apart", "held_out", "logistic", "materialise",
+    "FILTER_BITS", "SPACES", "WORDS", "bit_table", "components", "drop_folder", "fresh", "frugal", "group_apart", "held_out", "logistic", "materialise",
     "maybe_member", "new_folder", "numbered", "table",
 ]
 
@@ -42,6 +46,33 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that begin with the stems and that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives free memory back at its end: Python workers stay for later stages."""
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return ended
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id as text has remainder 1 by 3."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
@@ -68,14 +99,14 @@ def bit_table(keys: DataFrame, hashed: Column) -> DataFrame:
 
 
 def maybe_member(df: DataFrame, hashed: Column, bits: DataFrame, flag: str) -> DataFrame:
-    """Add ``flag``: false only for rows whose hash is certainly not in the table."""
-    place = hashed.bitwiseAND((1 << FILTER_BITS) - 1)
-    marked = df.withColumn("_place", place).withColumn("_row", F.shiftright("_place", _ROW_BITS))
+    """Add ``flag``: false only for rows whose hash is certainly not in the table. Columns of any name stay, but for ``flag``."""
+    place, row, own = fresh(df, "_place", "_row", "_bits")
+    marked = df.withColumn(place, hashed.bitwiseAND((1 << FILTER_BITS) - 1)).withColumn(row, F.shiftright(place, _ROW_BITS))
     test = F.expr(
-        f"_bits IS NOT NULL AND getbit(CAST(conv(hex(substring(_bits, CAST((_place & {(1 << _ROW_BITS) - 1}) DIV 8 AS INT) + 1, 1)),"
-        " 16, 10) AS INT), CAST(_place % 8 AS INT)) = 1"
+        f"{own} IS NOT NULL AND getbit(CAST(conv(hex(substring({own}, CAST(({place} & {(1 << _ROW_BITS) - 1}) DIV 8 AS INT) + 1, 1)),"
+        f" 16, 10) AS INT), CAST({place} % 8 AS INT)) = 1"
     )
-    return marked.join(F.broadcast(bits), "_row", "left").withColumn(flag, test).drop("_row", "_place", "_bits")
+    return marked.join(F.broadcast(bits.toDF(row, own)), row, "left").withColumn(flag, test).drop(row, place, own)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str] | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:

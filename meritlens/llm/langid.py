@@ -218,7 +218,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Models of the languages of rows that are not held out and have a language and a text.
 
     Reads a bounded sample of each language: its first documents in the order of a hash of id and text, as many as
-    fit into its part of SAMPLE_CHARS characters, but LEAST to SAMPLE. No language with a text to learn from is left out.
+    fit into its part of SAMPLE_CHARS characters, but LEAST to SAMPLE; of a very long one a window drawn by the hash. No language with a text to learn from is left out.
     Rows equal in id and text count once.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
@@ -233,7 +233,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     bound = F.when(F.col("share") < 1, ((F.col("share") - 0.5) * 2.0**64).cast("long")).otherwise((1 << 63) - 1)
     plan = totals.withColumn("take", take).withColumn("share", share).select("lang", "take", F.greatest(bound, "lowest").alias("bound"))
     low = own.join(plan, "lang").where(F.col("draw") <= F.col("bound"))
-    low = low.groupBy("lang", "draw").agg(F.first("take").alias("take"), F.first("id").alias("id"), F.first(F.substring("t", 1, max(int(part / LEAST), CUT))).alias("t"))
+    # Of a long text a window of so many characters, at a place that its hash draws.
+    most = max(int(part / LEAST), CUT)
+    window = F.expr(f"substring(t, CAST(1 + pmod(draw, greatest(length(t) - {most}, 0) + 1) AS INT), {most})")
+    low = low.groupBy("lang", "draw").agg(F.first("take").alias("take"), F.first("id").alias("id"), F.first(window).alias("t"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     rows = low.withColumn("place", place).where(F.col("place") <= F.col("take")).orderBy("id", "t", "lang").select("t", "lang").toArrow()
     return train(rows.column("t").to_pylist(), rows.column("lang").to_pylist()) if len(rows) else Models([], np.zeros(0, bool))
@@ -245,7 +248,8 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     The language with the lowest cross-entropy per character; ``score`` is the calibrated
     probability that it is right; ``rejected`` marks texts that fit even this model worse than
     nearly all calibration texts. Null texts and texts without letters are ``und``, with score 0,
-    and rejected. Without any language to learn all texts are.
+    and rejected. Without any language to learn all texts are. Rows that repeat are answered each; an
+    empty table gives no rows; extra columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritlens.llm.common import bit_table, group_apart, materialise, maybe_member
+from meritlens.llm.common import bit_table, fresh, group_apart, materialise, maybe_member
+from meritlens.llm.minhash import near_duplicates
 
 #: Leading tokens on the path of a leaf, after the number of tokens.
 DEPTH = 3
@@ -17,6 +18,8 @@ LONG_TOKENS, LONG_CHARS, RECURS_LONG = 16, 100, 3
 #: Tokens after the leading ones that must be constant for a line to be of a template.
 CONSTANT = 0.75
 ANY = "<*>"
+#: Texts of which this share of the characters would go are looked at as possible near copies of each other.
+SUSPECT = 0.5
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -51,16 +54,20 @@ def recurring_lines(
     tokens, tokens with digits being variable fields. In a leaf, a token that occurs at its position in ``recurs`` documents,
     counted for every distinct line apart, is constant, others are variable fields; a line whose later tokens are constant
     to the share ``constant`` is of the template that this leaves. A template that stands in at least ``recurs`` different
-    documents recurs, wherever it stands in them; for long lines ``recurs_long`` are enough. Documents are different if
-    their texts are: copies of a whole text count once, near copies do not. What one document repeats does not recur. Of a
-    recurring template the first line, by id and place, stays and all others go.
+    documents recurs, wherever it stands in them; for long lines ``recurs_long`` are enough. What one document repeats does
+    not recur. Of a recurring template the first line, by id and place, stays and all others go.
+
+    Documents are different if their texts are no copies of each other: equal texts count once, and so do near copies
+    (components of texts that share 0.8 of their five-word shingles). Near copies are looked for among the texts of which
+    at least the share SUSPECT would go if only equal texts counted once; other texts lose less than that anyway. Which
+    tokens are constant is decided by different texts.
 
     Blank lines never go; null and empty texts have no lines to drop. A document is known by its id and
     the hash of its text, so rows that repeat an id, or have none, lose only lines of their own; rows equal in both are
     treated alike. A line of variable fields only has no template. Extra columns are ignored.
     """
     lines = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
-    light = materialise(_parsed(lines, depth).select("id", "text_hash", "place", "leaf", "h", "long", F.xxhash64("raw").alias("r")))
+    light = materialise(_parsed(lines, depth).select("id", "text_hash", "place", "leaf", "h", "long", F.xxhash64("raw").alias("r"), F.length("raw").alias("chars")))
     need = F.when(F.col("long"), recurs_long).otherwise(recurs)
     # Leaves without enough documents have no recurring template; most lines end here.
     leaves = light.groupBy("leaf", "long", "text_hash").agg(F.lit(1).alias("one")).groupBy("leaf", "long").agg(F.count("*").alias("n")).where(F.col("n") >= need)
@@ -85,29 +92,46 @@ def recurring_lines(
     )
     shapes = shapes.where((F.col("words") > 0) & (F.col("c") >= constant * F.col("l")))
     shapes = shapes.select("leaf", "h", F.xxhash64("leaf", "n", "x").alias("template"))
-    named = materialise(open_lines.join(group_apart(shapes, ["leaf", "h"], F.first("template").alias("template")), ["leaf", "h"]).select("id", "text_hash", "place", "long", "template"))
+    named = materialise(open_lines.join(group_apart(shapes, ["leaf", "h"], F.first("template").alias("template")), ["leaf", "h"]).select("id", "text_hash", "place", "long", "template", "chars"))
+    often = group_apart(named.select("template", "long", "text_hash").distinct(), ["template", "long"], F.count("*").alias("n")).where(F.col("n") >= need)
+    named = _with_copies(docs.select(F.col(text_col).alias("t")), light, named, materialise(often.select("template")))
     at = F.struct("id", "text_hash", "place")
-    spread = named.groupBy("template", "long", "text_hash").agg(F.min(at).alias("first"))
+    spread = named.groupBy("template", "long", "copy_of").agg(F.min(at).alias("first"))
     recurring = group_apart(spread, ["template", "long"], F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= need).drop("long")
     gone = named.join(recurring, "template").where(~at.eqNullSafe(F.col("first")))
     return gone.select("id", "text_hash", "place")
 
 
+def _with_copies(texts: DataFrame, light: DataFrame, named: DataFrame, often: DataFrame) -> DataFrame:
+    """``named`` with ``copy_of``: the near-copy class of texts that would lose most of their lines, the text's own hash for others."""
+    lost = named.join(often, "template").groupBy("text_hash").agg(F.sum("chars").alias("lost"))
+    whole = light.groupBy("text_hash").agg(F.sum("chars").alias("whole"))
+    suspects = materialise(lost.join(whole, "text_hash").where(F.col("lost") >= SUSPECT * F.col("whole")).select("text_hash"))
+    if suspects.isEmpty():
+        return named.withColumn("copy_of", F.col("text_hash"))
+    hashed = texts.select(F.xxhash64("t").alias("text_hash"), "t")
+    near = maybe_member(hashed, F.xxhash64("text_hash"), bit_table(suspects, F.xxhash64("text_hash")), "suspect").where("suspect")
+    found = near_duplicates(near.select("text_hash", "t"), "text_hash", "t").where("id != component_id")
+    classes = group_apart(found.withColumnRenamed("id", "text_hash"), ["text_hash"], F.min("component_id").alias("class"))
+    return materialise(named.join(materialise(classes), "text_hash", "left").withColumn("copy_of", F.coalesce("class", "text_hash")).drop("class"))
+
+
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_dropped", **options) -> DataFrame:
     """``docs`` with the recurring lines cut out of its texts, and their number; other columns and rows stay.
 
     Texts of documents that lose no line stay as they are, where they are: a bit table tells them. The
     list of lines to cut grows with the input, so it is never broadcast.
     """
+    lost, key, hashed, flag = fresh(docs, "_gone", "_id", "_hash", "_touched")
     gone = materialise(recurring_lines(docs, id_col, text_col, **options))
-    per_doc = group_apart(gone, ["id", "text_hash"], F.collect_set("place").alias("_gone")).withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
-    touched = maybe_member(docs, F.xxhash64(id_col, F.xxhash64(text_col)), bit_table(gone, F.xxhash64("id", "text_hash")), "_touched")
-    same = touched.where("NOT _touched").drop("_touched").withColumn(count_col, F.lit(0))
-    own = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    cut = touched.where("_touched").drop("_touched").join(per_doc.hint("merge"), own, "left").drop("_id", "_hash")
-    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n")
-    cut = cut.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rest))
-    cut = cut.withColumn(count_col, F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))).drop("_gone")
+    per_doc = group_apart(gone, ["id", "text_hash"], F.collect_set("place").alias(lost)).withColumnsRenamed({"id": key, "text_hash": hashed})
+    touched = maybe_member(docs, F.xxhash64(id_col, F.xxhash64(text_col)), bit_table(gone, F.xxhash64("id", "text_hash")), flag)
+    same = touched.where(~F.col(flag)).drop(flag).withColumn(count_col, F.lit(0))
+    own = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(hashed))
+    cut = touched.where(F.col(flag)).drop(flag).join(per_doc.hint("merge"), own, "left").drop(key, hashed)
+    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(F.coalesce(lost, F.array().cast("array<int>")), i)), "\n")
+    cut = cut.withColumn(text_col, F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(rest))
+    cut = cut.withColumn(count_col, F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost))).drop(lost)
     return same.unionByName(cut)
 
 

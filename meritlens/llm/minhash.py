@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritlens.llm.common import bit_table, components, group_apart, materialise, maybe_member
+from meritlens.llm.common import bit_table, components, fresh, frugal, group_apart, materialise, maybe_member
 from meritlens.llm.words import chunks, mixed, slice_hashes, split_words
 
 #: Bands of ROWS coordinates: a pair at the similarity 0.8 shares none with probability 1.2e-7.
@@ -27,8 +27,8 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     data, start, end, count = split_words(texts)
     hashes = slice_hashes(data, start, end)
     total = np.zeros(max(len(hashes) - words + 1, 0), np.uint64)
-    for k in range(words):
-        total += hashes[k : len(hashes) - words + 1 + k] * np.uint64(_ORDER * (2 * k + 1) % (1 << 64))
+    for k in range(words if len(total) else 0):
+        total += hashes[k : len(total) + k] * np.uint64(_ORDER * (2 * k + 1) % (1 << 64))
     total = mixed(total)
     out, at = [], 0
     for n in count.tolist():
@@ -78,7 +78,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(ends, pa.array(key.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(one), pa.array(two), lists], ["id", "n", "h1", "h2", "keys"])
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(frugal(run), "id long, n long, h1 long, h2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -90,7 +90,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "s"])
 
-    return docs.mapInArrow(run, "id long, s array<long>")
+    return docs.mapInArrow(frugal(run), "id long, s array<long>")
 
 
 def near_duplicates(
@@ -224,15 +224,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near = maybe_member(sets, F.xxhash64("id"), ids, "hit").where("hit").drop("hit")
     both = pairs.join(near.withColumnsRenamed({"id": "x", "s": "sx"}), "x").join(near.withColumnsRenamed({"id": "p", "s": "sp"}), "p")
     met = F.size(F.array_intersect("sx", "sp"))
-    return both.where(100 * met >= percent * (F.size("sx") + F.size("sp") - met)).select("p", "x").distinct()
+    linked = both.where(100 * met >= percent * (F.size("sx") + F.size("sp") - met))
+    # Repeated ids repeat pairs. The pairs are not grouped where the join left them: a pivot's rows may be split.
+    return group_apart(linked, ["p", "x"], F.count("*").alias("c")).drop("c")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Rows of ``docs`` whose id stands for its group; only rows whose id may be dropped meet the list of dropped ids."""
-    gone = materialise(near_duplicates(docs, id_col, **options).where("NOT kept").select(F.col("id").alias("_id")).distinct())
-    marked = maybe_member(docs, F.xxhash64(F.col(id_col).cast("long")), bit_table(gone, F.xxhash64("_id")), "_maybe")
-    checked = marked.where("_maybe").join(gone, F.col(id_col) == F.col("_id"), "left_anti")
-    return marked.where("NOT _maybe").unionByName(checked).drop("_maybe")
+    own, maybe = fresh(docs, "_id", "_maybe")
+    gone = materialise(near_duplicates(docs, id_col, **options).where("NOT kept").select(F.col("id").alias(own)).distinct())
+    marked = maybe_member(docs, F.xxhash64(F.col(id_col).cast("long")), bit_table(gone, F.xxhash64(own)), maybe)
+    checked = marked.where(F.col(maybe)).join(gone, F.col(id_col) == F.col(own), "left_anti")
+    return marked.where(~F.col(maybe)).unionByName(checked).drop(maybe)
 
 
 def op1_minhash_dedup(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meritlens.llm.common import WORDS, group_apart, materialise
+from meritlens.llm.common import WORDS, fresh, group_apart, materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -146,8 +146,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat an id, a source and a size share what is taken of them evenly, rounded down.
     """
-    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.expr("sum(taken) DIV count(*)").alias("_taken"))
-    taken = taken.select(F.struct("doc_id", "source", "size").alias("_key"), "_taken")
+    key, words, times, part, k = fresh(docs, "_key", "_taken", "_times", "_part", "_k")
+    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.expr("sum(taken) DIV count(*)").alias(words))
+    taken = taken.select(F.struct("doc_id", "source", "size").alias(key), words)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, words: pd.Series) -> pd.Series:
@@ -163,11 +164,11 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    keyed = docs.withColumn("_key", F.struct("doc_id", "source", size.alias("size"))).join(taken, "_key").where("_taken > 0")
-    keyed = keyed.withColumns({"_times": F.expr("_taken DIV _key.size"), "_part": F.expr("_taken % _key.size")})
-    rows = keyed.withColumn("_k", F.explode(F.expr("sequence(1, CAST(_times + sign(_part) AS INT))"))).where("_k >= 1")
-    part = cut(F.when(F.col("_k") > F.col("_times"), F.col("text")), F.col("_part"))
-    text = F.when(F.col("_k") > F.col("_times"), part).otherwise(F.col("text"))
+    keyed = docs.withColumn(key, F.struct("doc_id", "source", size.alias("size"))).join(taken, key).where(f"{words} > 0")
+    keyed = keyed.withColumns({times: F.expr(f"{words} DIV {key}.size"), part: F.expr(f"{words} % {key}.size")})
+    rows = keyed.withColumn(k, F.explode(F.expr(f"sequence(1, CAST({times} + sign({part}) AS INT))"))).where(f"{k} >= 1")
+    last = F.col(k) > F.col(times)
+    text = F.when(last, cut(F.when(last, F.col("text")), F.col(part))).otherwise(F.col("text"))
     return rows.withColumn("text", text).select(*docs.columns)
 
 

@@ -46,7 +46,8 @@ def assign_shards(df: DataFrame, key: list[str], shards: int = SHARDS) -> DataFr
     """Add ``shard_hash``, ``shard`` and ``grown_shard`` (the shard if there were one more).
 
     Only the key columns and the count of shards decide. Rows with equal keys share a shard, nulls
-    are keys like any other, extra columns stay. No shuffle.
+    are keys like any other, extra columns stay. Rows that repeat go to one shard; an empty table
+    stays empty. No shuffle.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from meritlens.llm.common import held_out, logistic, materialise
+from meritlens.llm.common import fresh, frugal, held_out, logistic, materialise
 from meritlens.llm.words import CHUNK_BYTES, chunks, slice_hashes, split_words
 
 #: Words in a window; windows overlap by a quarter.
@@ -316,23 +316,27 @@ def score(docs: DataFrame, model: Network | float, keep: list[str], text_col: st
     """The columns ``keep`` and the score of every row: all overlapping windows of the whole text are scored, the highest counts.
 
     Null, empty and wordless texts have one empty window and the score that the network gives to it.
+    Rows that repeat have equal scores; an empty table gives no rows; ``score_col`` may not be one of ``keep``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    extra = [] if text_col in keep else [text_col]  # the text goes to the workers once
+    at = [*keep, *extra].index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in chunks(batch, batch.num_columns - 1, CHUNK_BYTES // 2):
-                p = np.full(len(part), model) if isinstance(model, float) else model.probability(part.column(batch.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p.astype(np.float64))], [*keep, score_col])
+            for part in chunks(batch, at, CHUNK_BYTES // 2):
+                p = np.full(len(part), model) if isinstance(model, float) else model.probability(pc.fill_null(part.column(at), ""))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p.astype(np.float64))], [*keep, score_col])
 
-    source = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("_scored"))
-    return source.mapInArrow(run, StructType([*source.schema[:-1], StructField(score_col, DoubleType())]))
+    source = docs.select(*keep, *extra)
+    return source.mapInArrow(frugal(run), StructType([*source.schema[: len(keep)], StructField(score_col, DoubleType())]))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of documents that the network, fitted on them and their labels, does not reject."""
-    return score(docs, fit(docs, labels), docs.columns, score_col="_score").where(F.col("_score") < threshold).drop("_score")
+    (own,) = fresh(docs, "_score")
+    return score(docs, fit(docs, labels), docs.columns, score_col=own).where(F.col(own) < threshold).drop(own)
 
 
 def op5_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

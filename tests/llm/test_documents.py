@@ -395,3 +395,100 @@ def test_hashes_tell_texts_apart():
     sets = minhash.shingle_sets(pa.array(["a b c d", "a b d c", "A B C D", "ab c d", "a", "b", None, "a b", "b a"]), 4)
     assert len({s.tobytes() for s in sets}) == 8
     assert sets[0].tolist() == sets[2].tolist() and len(sets[6]) == 0
+
+
+def test_chunks_of_few_words(spark):
+    """Every number of words of a shingle with chunks of few words in all."""
+    for k in range(1, 9):
+        for n in range(9):
+            texts = ["w " * n, None, "x" * (n % 2)]
+            got = minhash.shingle_sets(pa.array(texts), k)
+            assert [len(s) for s in got] == [len(shingles(t, k)) for t in texts]
+    assert minhash.shingle_sets(pa.array([], pa.string()), 5) == []
+
+
+def near_copies(n, lines_each=30):
+    base = [" ".join(draw.choice(VOCABULARY) for _ in range(20)) for _ in range(lines_each)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        own[draw.randrange(lines_each)] = " ".join(draw.choice(VOCABULARY) for _ in range(20))
+        out.append("\n".join(own))
+    return out
+
+
+def test_near_copies_stay_whole(spark):
+    """Texts that differ in a line are one document for the line count, so none is cut; what others share with them goes."""
+    notice = "this notice stands in many documents that have otherwise nothing at all in common with each other ever"
+    copies = near_copies(6)
+    others = [f"{words(12)}\n{notice}\n{words(15)}" for _ in range(6)]
+    texts = copies + others + [f"{copies[0]}\n{notice}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.drop_lines(df).collect()}
+    assert [got[i] for i in range(6)] == copies
+    assert [notice in got[i] for i in range(6, 13)] == [True] + [False] * 6
+    assert len({r.component_id for r in minhash.near_duplicates(df).where("id < 6").collect()}) == 1
+
+
+def plain_recurring(docs):
+    """Lines to drop by dicts: leaves, constant tokens, templates, near-copy classes."""
+    parsed = []
+    for i, t in docs:
+        for place, raw in enumerate((t or "").split("\n") if t is not None else []):
+            tokens = [w for w in SPACE.split(raw) if w]
+            masked = ["<*>" if re.search("[0-9]", w) else w for w in tokens]
+            if masked:
+                line = " ".join(masked)
+                long = len(masked) >= lines.LONG_TOKENS or (len(masked) <= lines.DEPTH and len(line) >= lines.LONG_CHARS)
+                leaf = (len(masked), tuple(masked[: lines.DEPTH]), long)
+                parsed.append((i, t, place, raw, tuple(masked), leaf))
+    need = lambda leaf: lines.RECURS_LONG if leaf[2] else lines.RECURS
+    stands, of_line = defaultdict(set), defaultdict(set)
+    for _, t, _, _, masked, leaf in parsed:
+        of_line[leaf, masked].add(t)
+    token_count = Counter()
+    for (leaf, masked), ts in of_line.items():
+        for k, w in enumerate(masked):
+            token_count[leaf, k, w] += len(ts)
+    named = []
+    for i, t, place, raw, masked, leaf in parsed:
+        fixed = [token_count[leaf, k, w] >= need(leaf) for k, w in enumerate(masked)]
+        later = fixed[lines.DEPTH :]
+        if sum(later) >= lines.CONSTANT * len(later) and any(f and w != "<*>" for f, w in zip(fixed, masked, strict=True)):
+            template = (leaf, tuple(w if f else "<*>" for f, w in zip(fixed, masked, strict=True)))
+            named.append((i, t, place, raw, template))
+            stands[template].add(t)
+    often = {x for x, ts in stands.items() if len(ts) >= need(x[0])}
+    lost, whole = Counter(), Counter()
+    for _, t, _, raw, x in named:
+        lost[t] += len(raw) * (x in often)
+    for _, t, _, raw, _, _ in parsed:
+        whole[t] += len(raw)
+    suspects = [t for t in whole if lost[t] and lost[t] >= lines.SUSPECT * whole[t]]
+    sets = {t: shingles(t, 5) for t in suspects}
+    links = [(a, b) for n, a in enumerate(suspects) for b in suspects[n + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    same = roots(suspects, links)
+    classes, first = defaultdict(set), {}
+    for i, t, place, _, x in named:
+        classes[x].add(same.get(t, t))
+        first[x] = min(first.get(x, (i, t, place)), (i, t, place))
+    return {(i, place) for i, t, place, _, x in named if len(classes[x]) >= need(x[0]) and (i, t, place) != first[x]}
+
+
+def test_recurring_lines_against_plain_version(spark):
+    few = VOCABULARY[:12]
+    frames = [" ".join(draw.choice(few) for _ in range(draw.choice([2, 5, 9, 18]))) for _ in range(14)]
+
+    def line():
+        ws = draw.choice(frames).split(" ")
+        for _ in range(draw.randrange(3)):
+            ws[draw.randrange(len(ws))] = draw.choice([str(draw.randrange(50)), draw.choice(VOCABULARY)])
+        return draw.choice([" ", "  ", "\t"]).join(ws)
+
+    texts = ["\n".join(line() if draw.random() < 0.5 else words(draw.randint(1, 20)) for _ in range(draw.randint(1, 9))) for _ in range(80)]
+    texts += near_copies(5, 8) + [texts[3], texts[4], None, "", "\n \n"]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.id, r.place) for r in lines.recurring_lines(df).collect()}
+    want = plain_recurring(docs)
+    assert got == want and len(want) > 30
