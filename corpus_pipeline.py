@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meritlens.llm import bpe, lines, minhash, mixing, toxicity
-from meritlens.llm.common import materialise, table
+from meritlens.llm.common import fresh, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = lines.drop_lines(docs, count_col="_dropped")
+    cut = lines.drop_lines(docs, count_col=fresh(docs, "_dropped")[0])
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
