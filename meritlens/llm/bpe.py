@@ -31,7 +31,7 @@ from meritlens.llm.common import fresh, frugal, materialise, new_folder
 #: Most words of the lexicon besides special tokens, and the share of a block's words that makes a word frequent.
 LEXICON, FREQUENT = 1 << 17, 1e-6
 #: Characters in a block of counted words, in a piece of it that is counted at once, and in a chunk that is encoded at once.
-BLOCK_CHARS, PIECE_CHARS, CHUNK_CHARS = 16_000_000, 1_000_000, 1_500_000
+BLOCK_CHARS, PIECE_CHARS, CHUNK_CHARS = 16_000_000, 500_000, 300_000
 #: Words of more bytes are merged one by one with a heap.
 LONG_WORD = 64
 LETTER, NUMBER, OTHER, SPACE, EDGE = range(5)
@@ -360,20 +360,20 @@ def frequent_words(docs: DataFrame, text_col: str = "text", share: float = FREQU
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, chars, counts, counted_chars = [], 0, None, 0
-
-        def counted() -> pa.Table:
-            """The counts of the block so far, with the pieces held."""
-            pieces = pc.value_counts(pc.split_pattern(pa.chunked_array(held), " ").combine_chunks().flatten())
-            new = pa.table({"word": pieces.field(0), "n": pieces.field(1)})
-            if counts is None:
-                return new
-            both = pa.concat_tables([counts, new]).group_by("word").aggregate([("n", "sum")])
+        held, chars, counts, counted_chars, merged = [], 0, [], 0, 0
+
+        def piece() -> pa.Table:
+            found = pc.value_counts(pc.split_pattern(pa.chunked_array(held), " ").combine_chunks().flatten())
+            return pa.table({"word": found.field(0), "n": found.field(1)})
+
+        def merge() -> pa.Table:
+            both = pa.concat_tables(counts).group_by("word").aggregate([("n", "sum")])
             return both.rename_columns({"n_sum": "n"}).select(["word", "n"]).combine_chunks()
 
         def block() -> pa.RecordBatch:
-            total = max(1, pc.sum(counts.column("n")).as_py() or 0)
-            many = counts.filter(pc.greater_equal(counts.column("n"), max(1.0, share * total))).combine_chunks()
+            table = merge()
+            total = max(1, pc.sum(table.column("n")).as_py() or 0)
+            many = table.filter(pc.greater_equal(table.column("n"), max(1.0, share * total))).combine_chunks()
             words = pc.utf8_rtrim(many.column("word").combine_chunks(), characters=".,;:!?|*%$&#")
             return pa.RecordBatch.from_arrays([words.cast(pa.string()), many.column("n").combine_chunks()], ["word", "n"])
 
@@ -383,14 +383,17 @@ def frequent_words(docs: DataFrame, text_col: str = "text", share: float = FREQU
                 held.append(part.cast(pa.large_string()))
                 chars += part.nbytes
                 if chars >= PIECE_CHARS:
-                    counts = counted()
+                    counts.append(piece())
                     held, chars, counted_chars = [], 0, counted_chars + chars
                     if counted_chars >= BLOCK_CHARS:
                         yield block()
-                        counts, counted_chars = None, 0
+                        counts, counted_chars, merged = [], 0, 0
+                    elif sum(map(len, counts)) > max(200_000, 2 * merged):  # one table again, before the pieces outgrow it
+                        counts = [merge()]
+                        merged = len(counts[0])
         if held:
-            counts = counted()
-        if counts is not None:
+            counts.append(piece())
+        if counts:
             yield block()
 
     counted = docs.select(text_col).mapInArrow(frugal(count), "word string, n long")

@@ -325,7 +325,7 @@ def score(docs: DataFrame, model: Network | float, keep: list[str], text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in chunks(batch, at, CHUNK_BYTES // 2):
+            for part in chunks(batch, at, CHUNK_BYTES // 4):
                 p = np.full(len(part), model) if isinstance(model, float) else model.probability(pc.fill_null(part.column(at), ""))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p.astype(np.float64))], [*keep, score_col])
 
