@@ -1,7 +1,8 @@
 """Global order statistics without a one-task window.
 
-Each helper cuts the value range into pieces at approximate quantiles, sums the pieces, and
-only orders rows inside a piece, so no task ever holds more than one piece of one group.
+Each helper cuts the order into pieces of about PIECE_ROWS rows, sums the pieces, and only orders
+rows inside a piece, so no task ever holds more than one piece of one group. The number of pieces
+follows the number of rows.
 """
 
 from __future__ import annotations
@@ -11,22 +12,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_PIECES = 64
+from ..session import materialise
 
+#: About so many rows are ordered by one task.
+PIECE_ROWS = 100_000
 
-def with_piece(df: DataFrame, value: str, pieces: int = DEFAULT_PIECES, into: str = "_piece") -> DataFrame:
-    """Add the number of approximate quantile edges that are <= value."""
-    probs = [i / pieces for i in range(1, pieces)]
-    edges = df.select(F.percentile_approx(F.col(value), probs, 10000).alias("edges")).scalar()
-    return (
-        df.withColumn("_edges", edges)
-        .withColumn(into, F.coalesce(F.size(F.filter("_edges", lambda e: e <= F.col(value))), F.lit(0)))
-        .drop("_edges")
-    )
+
+def with_piece(df: DataFrame, *order: str, piece_rows: int = PIECE_ROWS, into: str = "_piece") -> DataFrame:
+    """Add the number of the range that a row falls into, of as many ranges of ``order`` as the rows need.
+
+    Spark samples the bounds. Rows equal in all order columns share a piece, so name a key behind a
+    value that many rows share. The frame is written once and, if it needs several pieces, once more.
+    """
+    stored = materialise(df)
+    pieces = -(-stored.count() // piece_rows)
+    if pieces <= 1:
+        return stored.withColumn(into, F.lit(0))
+    return materialise(stored.repartitionByRange(pieces, *order).withColumn(into, F.spark_partition_id()))
 
 
-def with_hash_piece(df: DataFrame, unit: str, pieces: int = DEFAULT_PIECES, into: str = "_piece") -> DataFrame:
-    """Same cut for a column uniform on [0, 1); needs no pass over the data."""
+def with_hash_piece(df: DataFrame, unit: str, pieces: int | None = None, piece_rows: int = PIECE_ROWS, into: str = "_piece") -> DataFrame:
+    """Same cut for a column uniform on [0, 1), by arithmetic; without ``pieces`` their number comes from a count."""
+    if pieces is None:
+        pieces = max(1, -(-df.count() // piece_rows))
     return df.withColumn(into, F.floor(F.col(unit) * pieces).cast("int"))
 
 
@@ -67,7 +75,7 @@ def hash_ranked(
     groups: Sequence[str] = (),
     into: str = "rank",
     total: str | None = None,
-    pieces: int = 256,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Row number by (unit, key) inside each group, for a hash column uniform on [0, 1)."""
     cut = with_hash_piece(df, unit, pieces)
@@ -85,13 +93,13 @@ def exact_quantiles(
     value: str,
     names: dict[str, float],
     groups: Sequence[str] = (),
-    pieces: int = DEFAULT_PIECES,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, exact, from counts of distinct values."""
     groups = list(groups)
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_c"))
     cum = running_totals(
-        with_piece(counts, value, pieces),
+        with_piece(counts, value, *groups, piece_rows=piece_rows),
         [F.col(value)],
         {"_cum": F.col("_c")},
         groups,

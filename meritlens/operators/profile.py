@@ -51,19 +51,13 @@ def column_profile(df: DataFrame, samples: int = 3) -> DataFrame:
 def top_terms(rows: DataFrame, label: str, text: str, n: int = 1, min_df: int = 5, top: int = 15,
               stop_words: Sequence[str] = terms.ENGLISH_STOP) -> DataFrame:
     """Most frequent n-grams (n = 1 or 2) per class that occur in min_df texts or more."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    listed = F.array(*[F.lit(w) for w in stop_words])
-    words = F.filter(words, lambda w: ~F.array_contains(listed, w))
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(*stop_words))
     if n == 2:
         m = F.greatest(F.size(words) - 1, F.lit(0))
         words = F.zip_with(F.slice(words, F.lit(1), m), F.slice(words, F.lit(2), m), lambda a, b: F.concat_ws(" ", a, b))
-    # One pass: every occurrence counts, and each distinct term of a text counts it as one document.
-    every = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(0).alias("text")))
-    once = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.lit(1).alias("text")))
-    marked = rows.select(label, F.explode(F.concat(every, once)).alias("x")).select(label, "x.term", "x.text")
-    kept = (
-        marked.groupBy(label, "term")
-        .agg(F.count_if(F.col("text") == 0).alias("count"), F.sum("text").alias("df"))
-        .where(F.col("df") >= min_df)
-    )
+    # Terms of a text in order: where one differs from the term before it, the text counts as a document of it.
+    ordered = rows.select(label, F.array_sort(words).alias("_terms"))
+    new = lambda i: (i == 0) | (F.col("_terms")[i - 1] != F.col("_terms")[i])
+    marked = ordered.select(label, F.explode(F.transform("_terms", lambda w, i: F.struct(w.alias("term"), new(i).cast("int").alias("text")))).alias("x"))
+    kept = marked.groupBy(label, F.col("x.term").alias("term")).agg(F.count("*").alias("count"), F.sum("x.text").alias("df")).where(F.col("df") >= min_df)
     return top_per_group(kept, [label], [F.desc("count"), F.asc("term")], top).select(label, "term", "count", "rank")
