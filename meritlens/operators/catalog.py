@@ -242,3 +242,17 @@ def global_rating_mean(catalog: DataFrame) -> DataFrame:
     return catalog.agg(
         F.coalesce(F.avg("average_rating"), F.lit(DEFAULT_RATING_MEAN)).alias("global_rating_mean")
     )
+
+
+def prepared_summary(products: DataFrame) -> DataFrame:
+    """Rows, priced and reviewed rows and their rates by split and kind, by split, by kind and in all, in one pass."""
+    priced, reviewed = F.col("price").isNotNull(), F.coalesce(F.col("review_count") > 0, F.lit(False))
+    return products.groupingSets([["split", "listing_kind"], ["split"], ["listing_kind"], []], "split", "listing_kind").agg(
+        F.when((F.grouping("split") == 0) & (F.grouping("listing_kind") == 0), "split_kind").when(F.grouping("split") == 0, "split")
+        .when(F.grouping("listing_kind") == 0, "kind").otherwise("all").alias("level"),
+        F.count("*").alias("rows"),
+        F.count_if(priced).alias("rows_with_price"),
+        F.count_if(reviewed).alias("rows_with_reviews"),
+        F.avg(priced.cast("double")).alias("priced_rate"),
+        F.avg(reviewed.cast("double")).alias("reviewed_rate"),
+    )

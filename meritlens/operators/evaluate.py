@@ -67,7 +67,7 @@ def _by_score(df: DataFrame, y: str, p: str, groups: Sequence[str]) -> DataFrame
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
     return running_totals(
-        with_piece(counts, "score"),
+        with_piece(counts, "score", *groups),
         [F.col("score")],
         {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")},
         groups,
@@ -209,7 +209,7 @@ def factor_extremes(long: DataFrame, key: str) -> DataFrame:
 def representatives(df: DataFrame, score: str, key: str) -> DataFrame:
     """Rows at positions 0, n/2 and n-1 of the order by score, then id."""
     ranked = running_totals(
-        with_piece(df, score), [F.col(score), F.col(key)], {"_r": F.lit(1).cast("bigint")}, totals={"_n": "_r"}
+        with_piece(df, score, key), [F.col(score), F.col(key)], {"_r": F.lit(1).cast("bigint")}, totals={"_n": "_r"}
     )
     at = F.col("_r") - 1
     return (
@@ -237,3 +237,26 @@ def closest_mistakes(df: DataFrame, y: str, p: str, key: str, n: int = 20) -> Da
 
 def top_rows(df: DataFrame, order: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(order), F.asc(key)).limit(n)
+
+
+def domain_metrics(long: DataFrame, y: str, p: str, groups: Sequence[str]) -> DataFrame:
+    """Rows, AUC, Brier score, log loss, accuracy and F1 by group; AUC and log loss are null where a group has one class."""
+    clip = 1e-15
+    base = binary_metrics(long, y, p, 0.5, groups, clip)
+    brier = long.groupBy(*groups).agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"))
+    both = (F.col("positive_support") > 0) & (F.col("positive_support") < F.col("rows"))
+    joined = base.join(brier, list(groups)).join(auc_ap(long, y, p, groups), list(groups))
+    return joined.select(
+        *groups, "rows", F.when(both, F.col("roc_auc")).alias("auc"), F.when(both, F.col("log_loss")).alias("log_loss"), "brier", "accuracy",
+        F.col("f1_positive").alias("f1"),
+    )
+
+
+def calibration_by(df: DataFrame, y: str, p: str, groups: Sequence[str], bins: int = 10) -> DataFrame:
+    """``calibration`` with the quantile bins of each group."""
+    names = {f"e{i}": i / bins for i in range(1, bins)}
+    edges = exact_quantiles(df, p, names, groups).select(*groups, F.array(*names).alias("_edges"))
+    binned = df.join(edges, list(groups)).withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col(p))))
+    return binned.groupBy(*groups, "bin").agg(
+        F.avg(p).alias("pred_bin_mean"), F.avg(F.col(y).cast("double")).alias("true_rate"), F.count("*").alias("rows")
+    )

@@ -535,6 +535,40 @@ def first_rejected(ranked: DataFrame, n: int = 10) -> DataFrame:
     return top_per_group(gone, ["query_id"], [F.asc("retrieval_rank")], n)
 
 
+#: Statuses of listings whose peer price was thrown out.
+PRICE_REASONS = ("insufficient_peer_neighbors", "implausibly_low_peer_price")
+
+
+def rejections(ranked: DataFrame, context: DataFrame, n: int = 10) -> DataFrame:
+    """Per listing: all reasons of rejected neighbours and of a rejected peer price with their counts, and the first n neighbours.
+
+    Reasons are counted before they meet by listing, so a listing sends on a row a reason.
+    """
+    neighbours = ranked.where(F.col("rejection_reason").isNotNull()).select("query_id", F.col("rejection_reason").alias("reason"))
+    prices = context.where(F.col("retrieval_status").isin(*PRICE_REASONS)).select("query_id", F.col("retrieval_status").alias("reason"))
+    counted = neighbours.unionByName(prices).groupBy("query_id", "reason").agg(F.count("*").alias("n"))
+    out = counted.groupBy("query_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("rejection_summary"), F.sum("n").alias("rejected")
+    )
+    first = first_rejected(ranked, n).groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "parent_asin", "rejection_reason"))).alias("first_rejected")
+    )
+    return out.join(first, "query_id", "left")
+
+
+def with_listing_trust(rows: DataFrame, trust: DataFrame) -> DataFrame:
+    """Join normalised trust (query_id and the columns of ``normalised_trust``) under the names of the listing summary."""
+    carried = F.struct(
+        F.col("trust_probability").alias("listing_trust_probability"), F.col("status").alias("listing_trust_status"),
+        F.col("score_head").alias("listing_trust_score_head"), F.col("trust_probability_graph").alias("listing_trust_probability_graph"),
+        F.col("trust_probability_logistic").alias("listing_trust_probability_logistic"),
+        F.col("deception_probability").alias("listing_deception_probability"),
+        F.col("deception_probability_graph").alias("listing_deception_probability_graph"),
+        F.col("deception_probability_logistic").alias("listing_deception_probability_logistic"),
+    )
+    return rows.join(trust.select("query_id", carried.alias("_trust")), "query_id", "left").select(*rows.columns, "_trust.*")
+
+
 def listing_context(profiles: DataFrame, ranked: DataFrame, cfg: MarketConfig = MarketConfig()) -> DataFrame:
     """Accepted peer price and retrieval status per listing.
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import hash_unit
 from ..functions.text import clean
-from .ordering import hash_ranked
+from ..session import materialise
+from .ordering import hash_ranked, running_totals, with_hash_piece
 
 
 def _allocated(counts: DataFrame, count: str, share: float, into: str) -> DataFrame:
@@ -143,3 +144,68 @@ def key_overlap(split_rows: DataFrame) -> DataFrame:
         F.sum("b").alias("test_unique_text_keys"),
         F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("text_key_overlap"),
     )
+
+
+GROUPED, BY_ROW, FALLBACK = "grouped_text_key", "row_stratified", "row_stratified_fallback"
+
+
+def _key_sides(keyed: DataFrame, test_size: float, seed: int) -> DataFrame:
+    """(text_key, label, n, split): keys in hash order go to the test side while their rows fit into the label's quota.
+
+    The first key of a label goes there whatever its rows, if the quota is not zero.
+    """
+    groups = materialise(keyed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("_label").alias("label"), F.count("*").alias("n")))
+    quotas = _allocated(groups.groupBy("label").agg(F.sum("n").alias("available")), "available", test_size, "quota")
+    cut = with_hash_piece(groups.withColumn("_u", hash_unit(seed, F.col("text_key"))), "_u")
+    ordered = running_totals(cut, [F.col("_u"), F.col("text_key")], {"upto": F.col("n")}, ["label"])
+    test = (F.col("quota") > 0) & ((F.col("upto") <= F.col("quota")) | (F.col("upto") == F.col("n")))
+    side = F.when(test, "test").otherwise("train")
+    return ordered.join(F.broadcast(quotas.select("label", "quota")), "label").select("text_key", "label", "n", side.alias("split"))
+
+
+def split_mode(sides: DataFrame) -> DataFrame:
+    """One row: the mode that sides of keys allow, and the rows of each side. A row for each label is all it looks at."""
+    per = sides.groupBy("label").agg(
+        F.sum(F.when(F.col("split") == "train", F.col("n")).otherwise(0)).alias("train"), F.sum(F.when(F.col("split") == "test", F.col("n")).otherwise(0)).alias("test")
+    )
+    total = per.agg(
+        F.count("*").alias("labels"), F.count_if(F.col("train") > 0).alias("train_labels"), F.sum("train").alias("train"), F.sum("test").alias("test")
+    )
+    apart = (F.col("labels") >= 2) & (F.col("train_labels") >= 2) & (F.col("test") > 0)
+    return total.select(F.when(apart, GROUPED).otherwise(FALLBACK).alias("mode"), "labels", "train", "test")
+
+
+def split_rows(
+    rows: DataFrame, label: str, text: str, key: str, test_size: float = 0.25, seed: int = 42, text_disjoint: bool = True
+) -> DataFrame:
+    """Add text_key, split and split_mode: texts apart if that is feasible, else rows stratified by label.
+
+    Blank texts have no key and no side in a split of texts. That split needs two labels with keys, a
+    test side, and two labels on the train side; otherwise all rows are split by label, whatever their
+    texts. A single label is split as well. Rows without a label have no side.
+    """
+    blank = clean(F.coalesce(F.col(text), F.lit(""))) == ""
+    keyed = rows.withColumns({"text_key": F.when(~blank, text_key(F.col(text), F.col(label))), "_label": F.col(label)}).where(F.col(label).isNotNull())
+    mode = BY_ROW
+    if text_disjoint:
+        sides = materialise(_key_sides(keyed, test_size, seed))
+        mode = split_mode(sides).first().mode
+        if mode == GROUPED:
+            return keyed.drop("_label").join(sides.select("text_key", "split"), "text_key").withColumn("split_mode", F.lit(mode))
+    plan = _allocated(label_counts(keyed, label), "available", test_size, "test_rows")
+    plan = plan.select("label", "test_rows", F.lit(0).cast("bigint").alias("val_rows"), F.col("available").alias("planned"))
+    return quota_assignment(keyed.drop("_label"), label, key, plan, seed).withColumn("split_mode", F.lit(mode))
+
+
+def label_summary(split_rows: DataFrame, label: str = "label", split: str = "split") -> DataFrame:
+    """Rows and share of label 1 by split and label, by split, by label and in all, in one pass."""
+    return (
+        split_rows.select(F.col(split).alias("split"), F.col(label).alias("label"))
+        .groupingSets([["split", "label"], ["split"], ["label"], []], "split", "label")
+        .agg(
+            F.when((F.grouping("split") == 0) & (F.grouping("label") == 0), "split_label").when(F.grouping("split") == 0, "split")
+            .when(F.grouping("label") == 0, "label").otherwise("all").alias("level"),
+            F.count("*").alias("rows"),
+            F.avg((F.col("label") == 1).cast("double")).alias("positive_rate"),
+        )
+    )

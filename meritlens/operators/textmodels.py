@@ -211,3 +211,22 @@ def train_trust(
     return TrustModels(
         graph, logistic, scored, probability_metrics(long, "y", "p", ["model"], clip), calibration(scored, "y", "p_graph")
     )
+
+
+def fit_trust_head(rows: DataFrame, label: str = "label_truth", columns: Sequence[str] = terms.TRUST_SCORES) -> tuple[list[float], float]:
+    """Coefficients and intercept of the logistic head (L2, C = 1)."""
+    model = LogisticRegression(labelCol=label, regParam=1.0 / rows.count(), standardization=False, maxIter=500, tol=1e-10).fit(scores_vector(rows, columns))
+    return model.coefficients.tolist(), float(model.intercept)
+
+
+def head_gradient(rows: DataFrame, coefficients: Sequence[float], intercept: float, label: str = "label_truth", columns: Sequence[str] = terms.TRUST_SCORES) -> DataFrame:
+    """(term, gradient) of the penalised mean log loss at a fitted head; all are zero at the optimum."""
+    z = F.lit(float(intercept))
+    for name, w in zip(columns, coefficients, strict=True):
+        z = z + F.lit(float(w)) * F.col(name)
+    error = 1.0 / (1.0 + F.exp(-z)) - F.col(label)
+    sums = rows.agg(
+        F.avg(error).alias("intercept"),
+        *[(F.avg(error * F.col(c)) + F.lit(float(w)) / F.count("*")).alias(c) for c, w in zip(columns, coefficients, strict=True)],
+    )
+    return sums.unpivot([], list(sums.columns), "term", "gradient")

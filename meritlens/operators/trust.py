@@ -409,3 +409,53 @@ def browse(rows: DataFrame, query: str, bucket: str = "all", sort: str = "record
     number, text = F.col(sort).try_cast("double"), F.coalesce(F.col(sort).cast("string"), F.lit(""))
     keys = (number, text) if ascending else (number.desc(), text.desc())
     return out.orderBy(*keys, "record_id")
+
+
+def model_table(graph: DataFrame, features: Sequence[str], coefficients: Sequence[float], intercept: float) -> DataFrame:
+    """Fitted graph and logistic head as one table (part, term, class, bucket, value), to be kept and applied elsewhere."""
+    head = [("logistic", name, None, None, float(w)) for name, w in zip(features, coefficients, strict=True)]
+    head.append(("logistic", "", None, None, float(intercept)))
+    graph = graph.select(F.lit("graph").alias("part"), F.col("bucket_column").alias("term"), F.col("class").cast("int").alias("class"), "bucket", F.col("prob").alias("value"))
+    return graph.unionByName(graph.sparkSession.createDataFrame(head, "part string, term string, class int, bucket string, value double"))
+
+
+def apply_models(rows: DataFrame, models: DataFrame, bucket_columns: Sequence[str] = terms.GRAPH_BUCKETS) -> DataFrame:
+    """Score rows of any domain with kept models: truth likelihoods of both heads, risks, entropy.
+
+    The table has some dozen rows; its logistic part is read as one map inside the plan.
+    """
+    graph = models.where("part = 'graph'").select(F.col("term").alias("bucket_column"), "class", "bucket", F.col("value").alias("prob"))
+    weights = models.where("part = 'logistic'").agg(F.map_from_entries(F.collect_list(F.struct("term", "value")))).scalar()
+    scored = graph_probability(with_graph_buckets(rows), graph, bucket_columns, "phase_b_truth_likelihood_graph").withColumn("_w", weights)
+    z = F.try_element_at("_w", F.lit(""))
+    for name in terms.TRUST_SCORES:
+        z = z + F.try_element_at("_w", F.lit(name)) * F.col(name)
+    scored = scored.withColumn("phase_b_truth_likelihood_logistic", sigmoid(z)).drop("_w")
+    return scored.withColumns(
+        {
+            "trust_risk_index_graph": 1.0 - F.col("phase_b_truth_likelihood_graph"),
+            "trust_risk_index_logistic": 1.0 - F.col("phase_b_truth_likelihood_logistic"),
+            "graph_uncertainty_entropy": entropy_bits(F.col("phase_b_truth_likelihood_graph")),
+        }
+    )
+
+
+def failed_annotations(log: DataFrame, n: int = 5) -> DataFrame:
+    """The last n failed records of a label log, the latest first, and whether a valid record of the same id came later.
+
+    The log is read backwards by (batch, place in the batch); only ids that failed are looked up among the valid ones.
+    """
+    place = F.coalesce("ingest_place", F.lit(0)) if "ingest_place" in log.columns else F.lit(0).cast("bigint")
+    rows = log.withColumn("_at", F.struct(F.col("ingest_seq"), place.alias("ingest_place")))
+    last = rows.where(F.col("error").isNotNull()).orderBy(F.desc("_at"), "record_id").limit(n)
+    valid = rows.where(is_valid_label()).join(F.broadcast(last.select("record_id").distinct()), "record_id", "left_semi")
+    later = valid.groupBy("record_id").agg(F.max("_at").alias("_valid"))
+    return last.join(later, "record_id", "left").select(
+        "record_id", F.col("_at.ingest_seq").alias("ingest_seq"), "error", F.coalesce(F.col("_valid") > F.col("_at"), F.lit(False)).alias("superseded")
+    )
+
+
+def most_uncertain(scored: DataFrame, n: int = 15) -> DataFrame:
+    """Rows whose graph is the least sure, by entropy; equal ones by id."""
+    entropy = F.round("graph_uncertainty_entropy", 9)
+    return scored.orderBy(F.desc_nulls_last(entropy), "record_id").limit(n)

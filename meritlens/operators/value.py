@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets, terms
 from ..functions.numbers import clamp, finite, saturating
+from .ordering import exact_quantiles
 
 EVIDENCE = (
     "trust_signal", "review_polarity", "review_strength", "rating_signal", "review_volume",
@@ -307,3 +308,13 @@ def ordered_scores(df: DataFrame, first: str, second: str, key: str = "parent_as
 
 def verdict_summary(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("rows"))
+
+
+def combined_summary(scored: DataFrame) -> DataFrame:
+    """One row for a combined run: rows, rows of each prediction as a map, exact quantiles of the probability."""
+    p = "combined_good_value_probability"
+    kinds = scored.groupBy("combined_prediction").agg(F.count("*").alias("n"))
+    counts = kinds.agg(F.sum("n").alias("rows_scored"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("combined_prediction", "n")))).alias("prediction_counts"))
+    quantiles = exact_quantiles(scored.select(p), p, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    one = F.lit(1).alias("_one")
+    return counts.select("*", one).join(quantiles.select("*", one), "_one", "left").drop("_one")

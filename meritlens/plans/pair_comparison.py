@@ -29,7 +29,7 @@ def valued_listings(
 ) -> DataFrame:
     """Candidate rows to valued listings keyed by query_id.
 
-    trust: query_id and normalised trust columns. review_sets: query_id and review-set scores.
+    trust: query_id and the columns of ``normalised_trust``, all of which reach the summary. review_sets: query_id and review-set scores.
     """
     profiles = materialise(
         L.retrieval_profile(listings).withColumns(
@@ -60,14 +60,7 @@ def valued_listings(
         "left",
     )
     if trust is not None:
-        base = base.join(
-            trust.select(
-                "query_id", F.col("trust_probability").alias("listing_trust_probability"),
-                F.col("status").alias("listing_trust_status"), F.col("score_head").alias("listing_trust_score_head"),
-            ),
-            "query_id",
-            "left",
-        )
+        base = L.with_listing_trust(base, trust)
     else:
         base = base.withColumn("listing_trust_probability", F.lit(None).cast("double"))
     if review_sets is not None:

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import terms
 from ..operators.catalog import split_summary
 from ..operators.trust import latest_labels
 
 SPLITS = ("train", "val", "test")
+#: Columns of a label log.
+LABEL_LOG = ", ".join(
+    ["record_id string", "domain string", *(f"{c} double" for c in (*terms.TRUST_SCORES, "overall_confidence")), "rationale_claim string",
+     "rationale_signal string", "rationale_pressure string", "error string", *(f"{b} string" for b in terms.LABEL_BUCKETS),
+     "ingest_seq bigint", "ingest_place bigint"]
+)
 
 
 def write_splits(rows: DataFrame, path: str, fmt: str = "json") -> None:
@@ -44,5 +51,5 @@ def read_labels(spark: SparkSession, path: str, last_then_valid: bool = False) -
     """Latest label per id; a log that does not exist yet has none."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], "record_id string")
+        return spark.createDataFrame([], LABEL_LOG).drop("ingest_place")
     return latest_labels(spark.read.option("mergeSchema", True).parquet(path), last_then_valid)

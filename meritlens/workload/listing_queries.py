@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import money, terms
@@ -10,7 +11,7 @@ from ..operators import compare as P
 from ..operators import explain as X
 from ..operators import listings as L
 from ..operators import retrieval as R
-from ..operators.ordering import top_per_group
+from ..operators import trust as T
 from . import views
 from .catalog_queries import (
     _matched, any_sql, evidence_sql, key_sql, kind_sql, posterior_ctes, posterior_sql, r6,
@@ -267,32 +268,39 @@ def _valued(spark, sf):
         F.when(k % 4 != 0, ((k * 29) % 101).cast("double")).alias("ewom_magnitude_0_to_100"),
         F.when(k % 4 != 0, (k % 12) + 1).alias("seller_feedback_review_count"),
         F.lit(None).cast("double").alias("trust_probability"),
-        F.when(k % 3 != 0, ((k * 17) % 100) / 99.0).alias("listing_trust_probability"),
-        F.when(k % 3 != 0, "ok").otherwise("error").alias("listing_trust_status"),
-        F.when(k % 3 == 1, "logistic").when(k % 3 == 2, "graph").alias("listing_trust_score_head"),
         F.when(k % 9 == 0, 700.0 + (k * 31) % 500).alias("manual_peer_price"),
     )
     context = _context(spark, sf).select(
         "query_id", F.col("peer_price").alias("retrieved_peer_price"), "retrieval_status",
         F.col("neighbor_count").alias("retrieved_neighbor_count"),
     )
+    base = L.with_listing_trust(base, T.normalised_trust(_trust_results(spark, sf)))
     return L.listing_value(base.join(context, "query_id", "left"))
 
 
+def _trust_results(spark, sf):
+    """What trust scoring gives for the listings: two heads, one head or an error."""
+    k = F.col("k")
+    none = F.lit(None).cast("double")
+    return listings(spark, sf).select(
+        "query_id", F.when(k % 3 != 0, "ok").otherwise("error").alias("status"),
+        F.when(k % 3 == 1, ((k * 23) % 100) / 99.0).when(k % 3 == 2, ((k * 17) % 100) / 99.0).alias("phase_b_truth_likelihood_graph"),
+        F.when(k % 3 == 1, ((k * 17) % 100) / 99.0).alias("phase_b_truth_likelihood_logistic"),
+        none.alias("trust_risk_index_graph"), none.alias("trust_risk_index_logistic"), none.alias("graph_uncertainty_entropy"),
+    )
+
+
 def listing_value(spark, sf):
-    valued = _valued(spark, sf)
-    known = [c for c in L.SUMMARY if c in valued.columns or c == "total_price"]
-    return rounded(L.listing_summary(valued).select(*known))
+    return rounded(L.listing_summary(_valued(spark, sf)))
 
 
 def _pairs(spark, sf):
+    """All neighbouring parts of an order, by part number; an order has at most seven lines."""
     li = views.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    low = top_per_group(li, ["l_orderkey"], [F.asc("l_partkey")], 2)
-    return (
-        low.groupBy(F.col("l_orderkey").alias("pair_id"))
-        .agg(F.min("l_partkey").cast("string").alias("id_a"), F.max("l_partkey").cast("string").alias("id_b"), F.count("*").alias("n"))
-        .where("n = 2")
-        .drop("n")
+    order = Window.partitionBy("l_orderkey").orderBy("l_partkey")
+    each = li.withColumns({"at": F.row_number().over(order), "next": F.lead("l_partkey").over(order)}).where("next IS NOT NULL")
+    return each.select(
+        (F.col("l_orderkey") * 8 + F.col("at")).alias("pair_id"), F.col("l_partkey").cast("string").alias("id_a"), F.col("next").cast("string").alias("id_b")
     )
 
 
@@ -514,8 +522,9 @@ valued AS MATERIALIZED (SELECT e.*, p.good_value_probability, q.good_value_proba
 v AS MATERIALIZED (SELECT *, CASE WHEN reason LIKE 'bayesian%' THEN label ELSE 'insufficient_evidence' END AS prediction FROM valued)"""
 V["pairs"] = (
     (),
-    """SELECT l_orderkey AS pair_id, CAST(min(l_partkey) AS VARCHAR) AS id_a, CAST(max(l_partkey) AS VARCHAR) AS id_b FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS r FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) d) q WHERE r <= 2 GROUP BY l_orderkey HAVING count(*) = 2""",
+    """SELECT l_orderkey * 8 + r AS pair_id, CAST(l_partkey AS VARCHAR) AS id_a, CAST(nxt AS VARCHAR) AS id_b FROM (
+  SELECT *, row_number() OVER w AS r, lead(l_partkey) OVER w AS nxt FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) d
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey)) q WHERE nxt IS NOT NULL""",
 )
 VERDICTS = VALUED + """,
 sides AS (SELECT *, CASE WHEN neutral THEN an ELSE ap0 END AS a_p, CASE WHEN neutral THEN bn ELSE bp0 END AS b_p, CASE WHEN neutral THEN NULL ELSE ag0 END AS ag, CASE WHEN neutral THEN NULL ELSE bg0 END AS bg
@@ -619,8 +628,10 @@ string_agg(format('{:.2f}', price), ',' ORDER BY place) AS neighbor_prices FROM
     "listing_value": sql(
         ["lbase"],
         VALUED + f""" SELECT source_url, title, round(price, 6) AS total_price, total_price_currency, {r6('peer_price', 'price_gap_vs_peer', 'good_value_probability', 'trust_probability', 'ewom_score_0_to_100')}, prediction,
-  reason AS prediction_reason, listing_trust_status, listing_trust_score_head, seller_feedback_review_count, status AS retrieval_status, retrieved_neighbor_count, price_considered,
-  CASE WHEN failed THEN '{L.NO_PRICE_NOTE}' END AS price_note, peer_price_source FROM v""",
+  reason AS prediction_reason, listing_trust_status, listing_trust_score_head, round(tg, 6) AS listing_trust_probability_graph, round(tl, 6) AS listing_trust_probability_logistic,
+  round(1 - coalesce(tl, tg), 6) AS listing_deception_probability, round(1 - tg, 6) AS listing_deception_probability_graph, round(1 - tl, 6) AS listing_deception_probability_logistic, seller_feedback_review_count, status AS retrieval_status, retrieved_neighbor_count, price_considered,
+  CASE WHEN failed THEN '{L.NO_PRICE_NOTE}' END AS price_note, peer_price_source
+  FROM (SELECT *, CASE k % 3 WHEN 1 THEN ((k * 23) % 100) / 99.0 WHEN 2 THEN ((k * 17) % 100) / 99.0 END AS tg, CASE WHEN k % 3 = 1 THEN ((k * 17) % 100) / 99.0 END AS tl FROM v) v""",
     ),
     "pair_verdict": sql(["lbase", "pairs"], VERDICTS + f" SELECT pair_id, id_a, id_b, price_comparison_mode, round(delta, 6) AS good_value_probability_delta, verdict, basis, {r6('a_p', 'b_p')} FROM verdicts"),
     "explanations": sql(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("catalog_queries", "review_queries", "listing_queries", "model_queries", "source_queries")
+_MODULES = ("catalog_queries", "review_queries", "listing_queries", "model_queries", "source_queries", "summary_queries")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -123,18 +123,6 @@ def seller_cases(spark, sf):
 
 
 def column_profile(spark, sf):
-    e = views.table(spark, sf, "events").select(
-        "event_id", "user_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value")
-    )
-    out = P.column_profile(e)
-    return out.select(
-        "column", "dtype", "non_null_count", "null_count", "null_pct", "unique_count",
-        F.when(F.col("column") == "event_type", F.col("sample_values")).alias("sample_values"),
-        *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")],
-    )
-
-
-def column_profile_whole(spark, sf):
     out = P.column_profile(views.table(spark, sf, "events"))
     return out.select(
         "column", "dtype", "non_null_count", "null_count", "null_pct", "unique_count", "sample_values",
@@ -167,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         review_source, split_roundtrip, score_roundtrip, label_log_roundtrip, labelled_source, truth_source, label_collapse,
-        product_source, polarity_source, seller_cases, column_profile, column_profile_whole, top_terms, top_bigrams, embedding_document,
+        product_source, polarity_source, seller_cases, column_profile, top_terms, top_bigrams, embedding_document,
     )
 }
 
@@ -180,27 +168,6 @@ def _terms_sql(n: int) -> str:
 SELECT label, term, count(*) AS count, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, doc_id % 2 AS label, unnest({gram}) AS term FROM (SELECT doc_id, {w} AS w FROM documents) a) b GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5) c) d WHERE r <= 15"""
 
 
-def _profile_sql() -> str:
-    cols = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double"}
-    parts = []
-    for c, t in cols.items():
-        num = (
-            f"round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, "
-            + ", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), {q}), 4) AS p{int(q * 100)}" for q in (0.25, 0.5, 0.75))
-            + f", round(CAST(max({c}) AS DOUBLE), 4) AS max"
-            if t != "string"
-            else ", ".join(f"CAST(NULL AS DOUBLE) AS {x}" for x in ("mean", "std", "min", "p25", "p50", "p75", "max"))
-        )
-        sample = (
-            "(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT event_type AS v FROM e ORDER BY v LIMIT 3) s)" if t == "string" else "CAST(NULL AS VARCHAR)"
-        )
-        parts.append(
-            f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count({c}) AS non_null_count, count(*) - count({c}) AS null_count, round(100.0 * (count(*) - count({c})) / count(*), 2) AS null_pct, "
-            f"count(DISTINCT {c}) AS unique_count, {sample} AS sample_values, {num} FROM e"
-        )
-    return "WITH e AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events) " + " UNION ALL ".join(parts)
-
-
 def _whole_profile_sql() -> str:
     cols = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
     parts = []
@@ -240,8 +207,7 @@ FROM (SELECT *, row_number() OVER (ORDER BY {unit_sql('p_partkey')}, p_partkey)
     "polarity_source": f"SELECT doc_id, doc_id % 2 AS label, CASE WHEN doc_id % 3 = 0 THEN 'given' WHEN doc_id % 2 = 1 THEN 'positive' ELSE 'negative' END AS label_text FROM (SELECT *, row_number() OVER (ORDER BY {unit_sql('doc_id')}, doc_id) AS r FROM documents) d WHERE r <= 300",
     "seller_cases": """SELECT CAST(conv_id AS VARCHAR) AS case_id, 's' || conv_id AS seller_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS seq, text FROM conversations WHERE conv_id % 5 <> 0
 UNION ALL SELECT DISTINCT CAST(conv_id AS VARCHAR), 's' || conv_id, NULL, NULL FROM conversations WHERE conv_id % 5 = 0""",
-    "column_profile": _profile_sql(),
-    "column_profile_whole": _whole_profile_sql(),
+    "column_profile": _whole_profile_sql(),
     "top_terms": _terms_sql(1),
     "top_bigrams": _terms_sql(2),
     "embedding_document": f"SELECT doc_id, 'Title: ' || {clean_sql('source')} || ' | Bullet Points: ' || {clean_sql('lang')} || ' | Description: ' || CASE WHEN doc_id % 2 = 0 THEN trim(regexp_replace({clean_sql('text')}, '^\\[(.*)\\]$', '\\1')) ELSE '' END AS document_text FROM documents",

@@ -14,7 +14,7 @@ def test_all_documents_are_scored(spark, name):
 
 
 def test_all_columns_are_profiled(spark):
-    got = {r.column: r for r in entry.queries()["column_profile_whole"](spark, SMALL).collect()}
+    got = {r.column: r for r in entry.queries()["column_profile"](spark, SMALL).collect()}
     events = spark.read.parquet(f"{SMALL}/events.parquet")
     n = events.count()
     assert set(got) == set(events.columns)
