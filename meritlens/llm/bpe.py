@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from meritlens.llm.common import fresh, frugal, materialise, new_folder
+from meritlens.llm.common import fresh, frugal, materialise, new_folder, text_batches
 
 #: Most words of the lexicon besides special tokens, and the share of a block's words that makes a word frequent.
 LEXICON, FREQUENT = 1 << 17, 1e-6
@@ -396,7 +396,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", share: float = FREQU
         if counts:
             yield block()
 
-    counted = docs.select(text_col).mapInArrow(frugal(count), "word string, n long")
+    counted = text_batches(docs).select(text_col).mapInArrow(frugal(count), "word string, n long")
     counted = counted.where("word != '' AND NOT word RLIKE '\\\\s' AND octet_length(word) < 40").groupBy("word").agg(F.sum("n").alias("n"))
     counted = materialise(counted)
     # Words by steps of their count: as many whole steps from the top as fit, so only the lexicon reaches the driver.
@@ -552,7 +552,7 @@ def encode(docs: DataFrame, artifact: str, text_col: str = "text", ids_col: str
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids_col])
 
-    kept = docs.drop(ids_col)
+    kept = text_batches(docs).drop(ids_col)
     return kept.mapInArrow(run, StructType([*kept.schema, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
@@ -600,7 +600,7 @@ def digests(docs: DataFrame, artifact: str, keep: list[str], ids: bool = False,
                     columns.append(pa.ListArray.from_arrays(np.append(0, stop).astype(np.int32), pa.array(tokens.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    source = docs.select(*keep, F.col(text_col).alias(own))
+    source = text_batches(docs).select(*keep, F.col(text_col).alias(own))
     fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     fields += [StructField("ids", ArrayType(IntegerType()))] * ids
     schema = StructType([*source.schema[:-1], *fields])

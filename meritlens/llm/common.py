@@ -21,12 +21,14 @@ WORDS = "[^\\x20\\x09-\\x0D]+"
 #: Bits of a membership table (2**25 bits are 1,024 rows of 4 KB, so 4 MB whatever the input).
 FILTER_BITS = 25
 _ROW_BITS = 15
+#: Rows and bytes of an Arrow batch of documents.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 #: About so many rows are ordered by one task.
 PIECE_ROWS = 50_000
 
 __all__ = [
     "FILTER_BITS", "SPACES", "WORDS", "bit_table", "components", "drop_folder", "fresh", "frugal", "group_apart", "held_out", "logistic", "materialise",
-    "maybe_member", "new_folder", "numbered", "table",
+    "maybe_member", "new_folder", "numbered", "table", "text_batches",
 ]
 
 
@@ -73,6 +75,19 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return ended
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, for tasks that read its texts in Python: Arrow batches are kept small, as a row is a whole document.
+
+    Spark's default of 10,000 rows a batch makes tasks hold tens of MB of text on both sides of the
+    pipe. Limits that the session's owner has set stay.
+    """
+    conf = df.sparkSession.conf
+    for key, value in ARROW_LIMITS.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+    return df
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id as text has remainder 1 by 3."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritlens.llm.common import bit_table, components, fresh, frugal, group_apart, materialise, maybe_member
+from meritlens.llm.common import bit_table, components, fresh, frugal, group_apart, materialise, maybe_member, text_batches
 from meritlens.llm.words import chunks, mixed, slice_hashes, split_words
 
 #: Bands of ROWS coordinates: a pair at the similarity 0.8 shares none with probability 1.2e-7.
@@ -120,7 +120,7 @@ def near_duplicates(
     size, a null component and kept = true. Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    source = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     signed = materialise(_signed(source, words, bands, rows))
     classes = group_apart(signed.where("n > 0 AND id IS NOT NULL"), ["n", "h1", "h2"], F.min("id").alias("rep"))
     nodes = materialise(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from meritlens.llm.common import fresh, frugal, held_out, logistic, materialise
+from meritlens.llm.common import fresh, frugal, held_out, logistic, materialise, text_batches
 from meritlens.llm.words import CHUNK_BYTES, chunks, slice_hashes, split_words
 
 #: Words in a window; windows overlap by a quarter.
@@ -329,7 +329,7 @@ def score(docs: DataFrame, model: Network | float, keep: list[str], text_col: st
                 p = np.full(len(part), model) if isinstance(model, float) else model.probability(pc.fill_null(part.column(at), ""))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p.astype(np.float64))], [*keep, score_col])
 
-    source = docs.select(*keep, *extra)
+    source = text_batches(docs).select(*keep, *extra)
     return source.mapInArrow(frugal(run), StructType([*source.schema[: len(keep)], StructField(score_col, DoubleType())]))
 
 
