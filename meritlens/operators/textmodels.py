@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import terms
 from ..functions.text import text_or_blank
@@ -49,21 +49,30 @@ def sparse_rows(counts: DataFrame, vocab: DataFrame, key: str = "doc_id") -> Dat
 
 
 def with_vectors(df: DataFrame, entries: str, size: int, into: str = "features") -> DataFrame:
-    """Turn sorted (i, v) entries into an ML sparse vector column.
+    """Turn sorted (i, v) entries into an ML sparse vector column, batch by batch and without a write.
 
-    The vector's storage layout is written and read back as a vector, so no row passes Python.
+    A frame that a fit reads many times is worth materialising by its caller. Null entries give a vector of zeros.
     """
-    layout = F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
-        F.lit(size).alias("size"),
-        F.transform(entries, lambda x: x["i"].cast("int")).alias("indices"),
-        F.transform(entries, lambda x: x["v"].cast("double")).alias("values"),
-    )
-    rows = df.withColumn(into, layout).drop(entries)
-    schema = T.StructType(
-        [T.StructField(f.name, VectorUDT() if f.name == into else f.dataType, True) for f in rows.schema.fields]
-    )
-    return materialise(rows, schema)
+
+    @F.udf(returnType=VectorUDT(), useArrow=True)
+    def vector(row):
+        row = row or []
+        return Vectors.sparse(size, [x["i"] for x in row], [x["v"] for x in row])
+
+    return df.withColumn(into, vector(entries)).drop(entries)
+
+
+def vector_entries(column: str = "features") -> Column:
+    """Entries of a sparse or dense ML vector that are not zero: array of (i, v), by i."""
+
+    @F.udf(returnType="array<struct<i:int,v:double>>", useArrow=True)
+    def entries(vector):
+        if vector is None:
+            return None
+        pairs = zip(vector.indices, vector.values) if isinstance(vector, SparseVector) else enumerate(vector.values)
+        return [(int(i), float(v)) for i, v in pairs if v]
+
+    return entries(column)
 
 
 @dataclass(frozen=True)
@@ -85,7 +94,22 @@ class TextFeatures:
         top = docs.agg(*[F.max(F.abs(c)).alias(c) for c in cfg.numeric]).first() if cfg.numeric else {}
         return TextFeatures(vocab, size, {c: float(top[c] or 1.0) or 1.0 for c in cfg.numeric}, cfg)
 
+    def save(self, path: str) -> None:
+        """Write vocabulary and settings below ``path``; what lies there already fails the write."""
+        settings = json.dumps({"size": self.size, "scales": self.scales, "cfg": asdict(self.cfg)})
+        self.vocab.write.parquet(f"{path}/vocabulary")
+        self.vocab.sparkSession.createDataFrame([(settings,)], "settings string").write.parquet(f"{path}/settings")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "TextFeatures":
+        """Features as saved."""
+        kept = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
+        words = kept["cfg"]["vocabulary"]
+        cfg = TextFeatureConfig(VocabularyConfig(**words | {"stop_words": tuple(words["stop_words"])}), tuple(kept["cfg"]["numeric"]))
+        return TextFeatures(spark.read.parquet(f"{path}/vocabulary"), kept["size"], kept["scales"], cfg)
+
     def transform(self, docs: DataFrame) -> DataFrame:
+        """Add the column ``features``; documents without a known term keep their numeric entries only."""
         counts = term_counts(docs.withColumn("copies", F.lit(1)), self.cfg.vocabulary, ("w",))
         empty = F.array().cast("array<struct<i:int,v:double>>")
         rows = docs.join(sparse_rows(counts, self.vocab), "doc_id", "left").withColumn("e", F.coalesce("e", empty))

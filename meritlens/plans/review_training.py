@@ -30,7 +30,7 @@ def train_helpfulness(splits: DataFrame, key: str, cfg: M.TextFeatureConfig | No
         )
     )
     features = M.TextFeatures.fit(docs.where("split = 'train'"), cfg)
-    rows = features.transform(docs)
+    rows = materialise(features.transform(docs))
     models = M.fit_candidates(rows.where("split = 'train'"))
     tuned = materialise(M.compare_candidates(materialise(M.predictions(models, rows.where("split = 'val'")))))
     best = M.select_candidate(tuned).select("model", "threshold").first()
