@@ -24,6 +24,41 @@ def read_json(spark: SparkSession, path: str | Sequence[str], schema: str | None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_json_lines(spark: SparkSession, path: str | Sequence[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines, and the lines that are no object of the schema: (file, record).
+
+    Blank lines are neither. Both frames read the files when they are used.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_record"}
+    parsed = lines.withColumn("row", F.from_json("value", f"{schema}, _record string", options))
+    broken = F.col("row._record").isNotNull() | ~F.ltrim("value").startswith("{")
+    return (
+        parsed.where(~broken).select("row.*").drop("_record"),
+        parsed.where(broken).select("file", F.col("value").alias("record")),
+    )
+
+
+def read_csv_rows(
+    spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",", header: bool = True, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of CSV as strings in ``columns`` (all fields, in order), and the records with another number of fields:
+    (file, record). A header with other names fails the read.
+    """
+    schema = ", ".join(f"`{c}` string" for c in (*columns, "_record"))
+    rows = spark.read.csv(
+        path, schema=schema, sep=sep, header=header, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE",
+        columnNameOfCorruptRecord="_record", enforceSchema=False,
+    )
+    # The reader prunes what is not asked for and would then count fewer fields as well: all columns stay in the plan.
+    seen = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.to_json(F.struct(*columns)).alias("_all"))
+    broken = F.col("_record").isNotNull() & F.col("_all").isNotNull()
+    return (
+        seen.where(~broken).select(*columns),
+        seen.where(broken).select(F.col("_file").alias("file"), F.rtrim("_record").alias("record")),
+    )
+
+
 def read_reviews(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Raw review lines (plain or gzip); blank lines are skipped by the reader."""
     return with_review_fallbacks(read_json(spark, path, ddl(RAW_REVIEW)))
@@ -40,9 +75,19 @@ def with_review_fallbacks(rows: DataFrame) -> DataFrame:
 
 
 def read_prepared_reviews(spark: SparkSession, path: str, positive_threshold: int) -> DataFrame:
+    """Prepared reviews with labels from their votes; a malformed line fails the read."""
     return relabel(read_json(spark, path, ddl(PREPARED_REVIEW)), positive_threshold)
 
 
+def read_prepared_reviews_with_rejects(spark: SparkSession, path: str, positive_threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The same, with malformed lines and reviews that have neither votes nor a label set apart: (file, record)."""
+    rows, rejects = read_json_lines(spark, path, ddl(PREPARED_REVIEW))
+    votes = F.coalesce(to_int(F.col("helpful_votes")), to_int(F.col("helpful_vote")))
+    known = votes.isNotNull() | F.col("label").isNotNull()
+    unlabelled = rows.where(~known).select(F.lit(None).cast("string").alias("file"), F.to_json(F.struct("*")).alias("record"))
+    return relabel(rows.where(known), positive_threshold), rejects.unionByName(unlabelled)
+
+
 def read_prepared_catalog(spark: SparkSession, path: str) -> DataFrame:
     return normalise_catalog(read_json(spark, path, ddl(PREPARED_PRODUCT)))
 
@@ -108,6 +153,11 @@ def product_rows(raw: DataFrame, target_rows: int, seed: int = 42) -> DataFrame:
     )
 
 
+def read_products(spark: SparkSession, path: str, target_rows: int, seed: int = 42) -> DataFrame:
+    """Products of a header CSV whose fields may hold line breaks; the required columns are checked on its header."""
+    return product_rows(read_csv(spark, path, multi_line=True), target_rows, seed)
+
+
 def polarity_rows(raw: DataFrame, key: str, max_rows: int | None = None, seed: int = 42) -> DataFrame:
     """Texts with a 0/1 label and its name, optionally a seeded sample."""
     rows = polarity_label_text(require_columns(raw, ["text", "label"]) if "label_text" in raw.columns else

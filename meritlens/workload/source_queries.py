@@ -82,6 +82,73 @@ def truth_source(spark, sf):
     return S.truth_labelled(raw, "doc_id").select("doc_id", "label_truth")
 
 
+def prepared_review_source(spark, sf):
+    """Prepared reviews of a file with cut lines, other JSON values, blank lines, wrong types and rows without any label."""
+    li = views.table(spark, sf, "lineitem")
+    path = _folder(spark, "prepared")
+    m, part = F.col("l_orderkey") % 40, F.col("l_linenumber") % 3
+    user = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    votes = F.col("l_quantity").cast("int").cast("string")
+    whole = F.to_json(
+        F.struct(
+            user.alias("user_id"), F.when(part == 0, votes).alias("helpful_votes"), F.when(part == 1, votes).alias("helpful_vote"),
+            F.when(m != 5, F.col("l_linenumber") % 2).alias("label"),
+        )
+    )
+    li.select(
+        F.when(m == 0, F.concat(F.lit('{"user_id":"'), user)).when(m == 1, F.concat(F.lit('["'), user, F.lit('"]'))).when(m == 2, F.lit(" "))
+        .when(m == 3, F.concat(F.lit('{"user_id":"'), user, F.lit('","label":"many"}'))).otherwise(whole).alias("value")
+    ).write.text(path)
+    rows, rejects = S.read_prepared_reviews_with_rejects(spark, path, 25)
+    return rows.select("user_id", "helpful_votes", "label").unionByName(rejects.select("record"), allowMissingColumns=True)
+
+
+def truth_file_source(spark, sf):
+    """Labelled texts through each of the four file formats."""
+    d = views.table(spark, sf, "documents")
+    path, k = _folder(spark, "truth"), F.col("doc_id")
+    word = F.element_at(F.array(*[F.lit(w) for w in (*terms.TRUTH_WORDS, "half-true")]), (k % 10 + 1).cast("int"))
+    raw = d.select("doc_id", F.col("text").alias("Content"), F.upper(word).alias("Truth"))
+    for part, (kind, sep) in enumerate((("csv", ","), ("tsv", "\t"))):
+        raw.where(k % 4 == part).write.csv(
+            f"{path}.{kind}", sep=sep, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
+    raw.where(k % 4 == 2).write.json(f"{path}.jsonl")
+    # One array of rows per file.
+    arrays = raw.where(k % 4 == 3).groupBy(F.floor(k / 2000)).agg(F.to_json(F.collect_list(F.struct("doc_id", "Content", "Truth"))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}.json")
+    out = None
+    for kind in ("csv", "tsv", "jsonl", "json"):
+        part = S.read_truth_labelled(spark, f"{path}.{kind}", "doc_id").select(
+            k.cast("bigint").alias("doc_id"), "label_truth", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.lit(kind).alias("format")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def product_file_source(spark, sf):
+    """Products from a header CSV with line breaks inside fields."""
+    path, k = _folder(spark, "products"), F.col("p_partkey")
+    views.table(spark, sf, "part").select(
+        k.alias("PRODUCT_ID"), F.when(k % 4 != 0, F.col("p_name")).alias("TITLE"),
+        F.when(k % 3 == 0, F.concat("p_type", F.lit('\n"'), "p_brand", F.lit('"'))).alias("BULLET_POINTS"), F.lit(None).cast("string").alias("DESCRIPTION"),
+    ).write.csv(path, header=True, escape='"')
+    return S.read_products(spark, path, 1 << 40).select("record_id", "text")
+
+
+def csv_source_rejects(spark, sf):
+    """Records of a CSV without header, those with too few or too many fields apart."""
+    path, k = _folder(spark, "customers"), F.col("c_custkey")
+    views.table(spark, sf, "customer").select(
+        F.when(k % 25 == 0, F.concat_ws(",", "c_custkey", "c_nationkey"))
+        .when(k % 25 == 1, F.concat_ws(",", "c_custkey", "c_nationkey", "c_name", F.lit("more")))
+        .otherwise(F.concat_ws(",", "c_custkey", "c_nationkey", F.concat(F.lit('"'), "c_name", F.lit(', ""quoted"""')))).alias("value")
+    ).write.text(path)
+    rows, rejects = S.read_csv_rows(spark, path, ["key", "nation key", "name"], header=False)
+    kept = rows.select(F.col("key").cast("bigint").alias("key"), F.col("nation key").cast("int").alias("nation_key"), "name")
+    return kept.unionByName(rejects.select("record"), allowMissingColumns=True)
+
+
 def label_collapse(spark, sf):
     d = views.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 6).alias("label"))
     parts = {n: d.where(F.col("doc_id") % 3 == i) for i, n in enumerate(("train", "validation", "test"))}
@@ -155,6 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         review_source, split_roundtrip, score_roundtrip, label_log_roundtrip, labelled_source, truth_source, label_collapse,
+        prepared_review_source, truth_file_source, product_file_source, csv_source_rejects,
         product_source, polarity_source, seller_cases, column_profile, top_terms, top_bigrams, embedding_document,
     )
 }
@@ -201,6 +269,17 @@ round(trust_probability, 6) AS trust_probability FROM (SELECT *, {key_sql('title
     "label_log_roundtrip": sql(["latest"], "SELECT record_id, ingest_seq FROM latest"),
     "labelled_source": f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1 ELSE 0 END AS label_truth, CAST(length({clean_sql('text')}) AS INT) AS n FROM documents WHERE doc_id % 3 < 2 AND doc_id % 6 <> 0 AND {clean_sql('text')} <> ''",
     "truth_source": f"SELECT doc_id, CAST(CASE WHEN doc_id % 10 < 4 THEN 1 ELSE 0 END AS INT) AS label_truth FROM documents WHERE doc_id % 10 < {len(terms.TRUTH_WORDS)}",
+    "prepared_review_source": """WITH r AS (SELECT l_orderkey % 40 AS m, l_linenumber, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+  CASE WHEN l_linenumber % 3 < 2 THEN CAST(trunc(l_quantity) AS BIGINT) END AS votes FROM lineitem), s AS (SELECT *, m IN (0, 1, 3) OR (m = 5 AND votes IS NULL) AS bad FROM r WHERE m <> 2)
+SELECT CASE WHEN NOT bad THEN id END AS user_id, CASE WHEN NOT bad THEN votes END AS helpful_votes,
+  CASE WHEN NOT bad THEN coalesce(CAST(votes >= 25 AS INT), CAST(l_linenumber % 2 AS INT)) END AS label,
+  CASE WHEN bad THEN CASE m WHEN 0 THEN '{"user_id":"' || id WHEN 1 THEN '["' || id || '"]' WHEN 3 THEN '{"user_id":"' || id || '","label":"many"}' ELSE '{"user_id":"' || id || '"}' END END AS record FROM s""",
+    "truth_file_source": f"SELECT doc_id, CAST(CASE WHEN doc_id % 10 < 4 THEN 1 ELSE 0 END AS INT) AS label_truth, CAST(coalesce(length(text), 0) AS INT) AS n, ['csv', 'tsv', 'jsonl', 'json'][doc_id % 4 + 1] AS format FROM documents WHERE doc_id % 10 < {len(terms.TRUTH_WORDS)}",
+    "product_file_source": f"""SELECT CAST(p_partkey AS VARCHAR) AS record_id, concat_ws(chr(10), CASE WHEN p_partkey % 4 <> 0 THEN 'Title: ' || p_name END,
+CASE WHEN p_partkey % 3 = 0 THEN 'Bullet Points: ' || {clean_sql("p_type || ' ' || chr(34) || p_brand || chr(34)")} END) AS text FROM part WHERE p_partkey % 4 <> 0 OR p_partkey % 3 = 0""",
+    "csv_source_rejects": """SELECT CASE WHEN c_custkey % 25 > 1 THEN c_custkey END AS key, CASE WHEN c_custkey % 25 > 1 THEN CAST(c_nationkey AS INT) END AS nation_key,
+CASE WHEN c_custkey % 25 > 1 THEN c_name || ', "quoted"' END AS name,
+CASE c_custkey % 25 WHEN 0 THEN c_custkey || ',' || c_nationkey WHEN 1 THEN c_custkey || ',' || c_nationkey || ',' || c_name || ',more' END AS record FROM customer""",
     "label_collapse": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split, CAST(CASE WHEN doc_id % 6 < 3 THEN 0 ELSE 1 END AS INT) AS label_truth FROM documents WHERE doc_id % 6 <> 3",
     "product_source": f"""SELECT CAST(p_partkey AS VARCHAR) AS record_id, concat_ws(chr(10), CASE WHEN p_partkey % 4 <> 0 THEN 'Title: ' || p_name END, CASE WHEN p_partkey % 3 = 0 THEN 'Bullet Points: ' || p_type END) AS text
 FROM (SELECT *, row_number() OVER (ORDER BY {unit_sql('p_partkey')}, p_partkey) AS r FROM part) p WHERE r <= 500 AND (p_partkey % 4 <> 0 OR p_partkey % 3 = 0)""",
