@@ -16,8 +16,10 @@ from meritlens.llm.common import components, group_apart, materialise
 LINK = 0.98
 #: Vectors in a cell, about; no more than CELLS cells in all (the only data that is broadcast: CELLS centroids).
 CELL, CELLS = 512, 1 << 14
-#: Centroids of a label are fitted on so many of its vectors, the first by the hash of their ids.
+#: Centroids of a label are fitted on so many of its vectors, the first by the hash of their ids and components.
 SAMPLE, ROUNDS = 1 << 14, 8
+#: Rows compared with all centroids of their label at once.
+AT_ONCE = 1024
 #: Rows on either side of a block product.
 BLOCK = 2048
 
@@ -41,11 +43,17 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centroids
 
 
+def drawn(classes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """About twice the sample of every label and dimension in ``sizes``, by hash, so that no window orders a whole label."""
+    rows = classes.join(sizes, ["label", "dim"]).withColumn("u", F.xxhash64("rep", "v"))
+    return rows.where((F.col("u") / 2.0**64 + 0.5) * F.col("n") <= 2 * SAMPLE)
+
+
 def _fit(classes: DataFrame, cell: int) -> dict[tuple[int, int], np.ndarray]:
     """Centroids by (label, dimension), for those with more vectors than one cell holds."""
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > cell)
-    by_hash = Window.partitionBy("label", "dim").orderBy(F.xxhash64("rep"), "rep")
-    sample = classes.join(sizes, ["label", "dim"]).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SAMPLE)
+    by_hash = Window.partitionBy("label", "dim").orderBy("u", "rep")
+    sample = drawn(classes, sizes).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SAMPLE)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         k = min(-(-int(pdf["n"].iloc[0]) // cell), max(1, len(pdf) // 8))
@@ -101,16 +109,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     cells.append(np.zeros(len(own), np.int32))
                     home.append(np.ones(len(own), bool))
                     continue
-                flat = batch.column("v").take(pa.array(own)).flatten().to_numpy().reshape(len(own), pair[1])
-                near = unit(flat) @ c.T
-                best = near.argmax(axis=1)
-                apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[best]
-                visits = near[np.arange(len(own)), best][:, None] - near <= reach * apart + 1e-9
-                visits[np.arange(len(own)), best] = True
-                i, j = np.nonzero(visits)
-                take.append(own[i])
-                cells.append(j.astype(np.int32))
-                home.append(best[i] == j)
+                for start in range(0, len(own), AT_ONCE):
+                    some = own[start : start + AT_ONCE]
+                    every = np.arange(len(some))
+                    flat = batch.column("v").take(pa.array(some)).flatten().to_numpy().reshape(len(some), pair[1])
+                    near = unit(flat) @ c.T
+                    best = near.argmax(axis=1)
+                    apart = np.sqrt(np.maximum(2 - 2 * (c[best] @ c.T), 0))
+                    visits = near[every, best][:, None] - near <= reach * apart + 1e-9
+                    visits[every, best] = True
+                    i, j = np.nonzero(visits)
+                    take.append(some[i])
+                    cells.append(j.astype(np.int32))
+                    home.append(best[i] == j)
             take = np.concatenate(take)
             part = batch.take(pa.array(take))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(cells)), pa.array(np.concatenate(home))], [*part.schema.names, "cell", "home"])

@@ -46,9 +46,11 @@ def some_vectors(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("cell", [vectors.CELL, 20])
-def test_near_vectors(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell, sample, at_once", [(vectors.CELL, vectors.SAMPLE, 1024), (20, vectors.SAMPLE, 1024), (20, 40, 7)])
+def test_near_vectors(spark, monkeypatch, cell, sample, at_once):
     monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "SAMPLE", sample)
+    monkeypatch.setattr(vectors, "AT_ONCE", at_once)
     monkeypatch.setattr(vectors, "BLOCK", 16)
     rows = some_vectors(240, cell)
     rows += [(500, rows[0][1], 0), (501, rows[0][1], 1), (502, None, 0), (503, [], 0), (504, [0.0] * 12, 0), (505, [None] * 12, 0)]
@@ -58,6 +60,16 @@ def test_near_vectors(spark, monkeypatch, cell):
     assert got == brute(rows)
 
 
+def test_a_label_sends_about_twice_the_sample_to_its_fit(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SAMPLE", 200)
+    rows = [(i, v, 0, len(v)) for i, v, _ in some_vectors(3000, 5)] + [(7, v, 1, len(v)) for _, v, _ in some_vectors(300, 6)]
+    classes = spark.createDataFrame(rows, "rep long, v array<double>, label int, dim int")
+    fitted = vectors._fit(classes, 20)
+    assert len(fitted[0, 12]) == 25 and len(fitted[1, 12]) == 15  # an eighth of the sample; one a cell, though all ids are equal
+    drawn = vectors.drawn(classes, classes.groupBy("label", "dim").count().withColumnRenamed("count", "n")).groupBy("label").count().collect()
+    assert 300 < dict(drawn)[0] < 500 and dict(drawn)[1] == 300
+
+
 def test_no_vectors(spark):
     assert vectors.op6_embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
