@@ -10,6 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 COMPARED = (
     "review_signals", "hash_split", "listing_kind", "review_prep", "quota_assignment", "trust_summary", "annotation_parse",
     "product_inputs", "retrieval_profile", "total_price", "listing_normalised", "labelled_source", "column_profile",
+    "prepared_review_source", "truth_file_source", "product_file_source", "csv_source_rejects", "sentiment_features", "annotate_pending",
 )
 
 
