@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,14 +60,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, records: i
 
 
 class _Record:
-    """A candidate whose content is passing by."""
+    """A candidate whose end is ahead; with ``hashing`` its content is hashed while it passes by."""
 
-    def __init__(self, start: int, content: int, header: dict[bytes, bytes], payload: bool) -> None:
+    def __init__(self, start: int, content: int, header: dict[bytes, bytes], hashing: bool, payload: bool) -> None:
         self.start, self.header = start, header
         self.content, self.end = content, content + int(header[b"content-length"])
         self.body = None  # where the payload begins
-        self.digest, self.size = hashlib.sha256(), 0
-        self.kept = [] if payload else None
+        self.digest, self.size = hashlib.sha256() if hashing else None, 0
+        self.kept = [] if hashing and payload else None
 
     def take(self, at: int, piece: bytes) -> None:
         """Bytes of the stream from ``at``; the first piece of an HTTP block is its header."""
@@ -84,7 +85,8 @@ class _Record:
         return {
             "file": file, "start": self.start, "next": self.end + 4, "type": text(b"warc-type"), "record_id": text(b"warc-record-id"),
             "uri": text(b"warc-target-uri"), "refers_to": text(b"warc-refers-to"), "stated_digest": text(b"warc-payload-digest"),
-            "payload_bytes": self.size, "payload_digest": self.digest.hexdigest(), "payload": b"".join(self.kept) if self.kept is not None else None,
+            "payload_bytes": self.size if self.digest else None, "payload_digest": self.digest.hexdigest() if self.digest else None,
+            "payload": b"".join(self.kept) if self.kept is not None else None,
         }
 
 
@@ -92,48 +94,92 @@ _SCHEMA = pa.schema([
     ("file", pa.string()), ("start", pa.int64()), ("next", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()),
     ("refers_to", pa.string()), ("stated_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()),
 ])
+_MAGIC = b"WARC/1."
+#: Header fields that are read.
+_FIELDS = {b"warc-type", b"warc-record-id", b"warc-target-uri", b"warc-refers-to", b"warc-payload-digest", b"content-type", b"content-length"}
 
 
-def _headers(piece: bytes) -> Iterator[tuple[int, dict[bytes, bytes]]]:
-    """Places in a piece where a record header may begin, with its fields; the header ends with the piece."""
-    at = piece.find(b"WARC/1.")
-    while at >= 0:
-        lines = piece[at:].split(b"\r\n")
-        fields = {k.strip().lower(): v.strip() for k, found, v in (line.partition(b":") for line in lines[1:]) if found}
-        if len(lines[0]) <= 12 and b"warc-type" in fields and fields.get(b"content-length", b"").isdigit():
-            yield at, fields
-        at = piece.find(b"WARC/1.", at + 1)
+def _headers(piece: bytes) -> list[tuple[int, dict[bytes, bytes]]]:
+    """Places in a piece where a record header may begin, with its fields; the header ends with the piece.
+
+    Lines are read from the last to the first, so a piece is read once however many places it has.
+    """
+    found: list[tuple[int, dict[bytes, bytes]]] = []
+    fields: dict[bytes, bytes] = {}
+    end = len(piece) if _MAGIC in piece else -1
+    while end >= 0:
+        before = piece.rfind(b"\r\n", 0, end)
+        begin = before + 2 if before >= 0 else 0
+        at = piece.rfind(_MAGIC, max(begin, end - 12), end)
+        length = fields.get(b"content-length", b"")
+        if at >= 0 and b"warc-type" in fields and length.isdigit() and len(length) <= 18:
+            found.append((at, dict(fields)))
+        key, colon, value = piece[begin:end].partition(b":")
+        key = key.strip().lower()
+        if colon and key in _FIELDS:
+            fields.setdefault(key, value.strip())
+        end = before
+    return found[::-1]
+
+
+class Scan:
+    """Candidates of one file, from its pieces in their order; ``rows`` are those whose end has passed by.
+
+    A candidate is hashed if it begins where no hashed one reaches. The first record begins at the start
+    of the file and each next one where the one before ends, so all records of the chain are
+    hashed; what looks like a record inside them gives its offsets only, and no byte is hashed twice.
+    """
+
+    def __init__(self, file: str | None, payload: bool = False) -> None:
+        self.file, self.payload = file, payload
+        self.at = self.clear = 0
+        self.hashed: list[_Record] = []
+        self.inside: list[tuple[int, int, _Record]] = []  # a heap by end
+        self.rows: list[dict] = []
+
+    def take(self, piece: bytes) -> None:
+        whole = piece + b"\r\n\r\n"
+        for r in self.hashed:
+            r.take(self.at, whole)
+        for p, header in _headers(piece):
+            start = self.at + p
+            r = _Record(start, self.at + len(whole), header, start >= self.clear, self.payload)
+            if r.digest:
+                self.hashed.append(r)
+                self.clear = r.end + 4
+            else:
+                heapq.heappush(self.inside, (r.end, start, r))
+        self.at += len(whole)
+        self.rows += [r.row(self.file) for r in self.hashed if r.end <= self.at]
+        self.hashed = [r for r in self.hashed if r.end > self.at]
+        while self.inside and self.inside[0][0] <= self.at:
+            self.rows.append(heapq.heappop(self.inside)[2].row(self.file))
 
 
 def candidates(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
     """Every place of an archive that looks like a record, with the place after it.
 
     Spark's text reader streams a compressed file in one task, cut at blank lines; places are sums
-    of piece lengths. A candidate's payload is hashed while it passes by, so memory does not grow with
+    of piece lengths. A payload is hashed while it passes by, so memory does not grow with
     a record (unless ``payload`` is asked for). Candidates inside other records' payloads are given
-    as well; records cut off by the end of the file are not.
+    as well, with null for size and digest; records cut off by the end of the file are not.
     """
     pieces = spark.read.option("lineSep", BREAK).text(folder).select(F.col("value").cast("binary").alias("value"), "_metadata.file_path", "_metadata.file_block_start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, at, open_records, rows = None, 0, [], []
+        scan = Scan(None)
         for batch in batches:
+            rows = []
             for value, path, block in zip(*batch.columns, strict=True):
-                if path.as_py() != file:
+                if path.as_py() != scan.file:
                     if block.as_py():
                         raise ValueError(f"{path} is not compressed as one stream: archives are read in one piece")
-                    file, at, open_records = path.as_py(), 0, []
-                piece = value.as_py()
-                whole = piece + b"\r\n\r\n"
-                for r in open_records:
-                    r.take(at, whole)
-                open_records += [_Record(at + p, at + len(whole), h, payload) for p, h in _headers(piece)]
-                at += len(whole)
-                rows += [r.row(file) for r in open_records if r.end <= at]
-                open_records = [r for r in open_records if r.end > at]
+                    scan = Scan(path.as_py(), payload)
+                scan.take(value.as_py())
+                rows += scan.rows
+                scan.rows = []
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-                rows = []
 
     kinds = "file string, start long, next long, type string, record_id string, uri string, refers_to string, stated_digest string, payload_bytes long"
     return pieces.mapInArrow(run, f"{kinds}, payload_digest string, payload binary")

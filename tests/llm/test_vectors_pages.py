@@ -118,5 +118,39 @@ def test_a_broken_archive_gives_what_comes_before(spark, tmp_path):
     assert {r.record_id for r in warc.read_archives(spark, str(tmp_path)).collect()} == {"<r1>", "<r2>"}
 
 
+def test_false_headers_hash_no_byte_twice(spark, tmp_path):
+    false = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:99>\r\nContent-Length: {1 << 20}\r\n\r\n"
+    html = [false * 10_000, "y" * 1000 + "\r\n", "\r\n" + false, "paragraph\r\n\r\n" * 100_000]
+    rows = [(i, "u", h) for i, h in enumerate(html)]
+    folder = str(tmp_path / "out")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    (path,) = (tmp_path / "out").glob("*.gz")
+    whole = gzip.decompress(path.read_bytes())
+    scan = warc.Scan("f")
+    for piece in whole.split(b"\r\n\r\n")[:-1]:
+        scan.take(piece)
+    hashed = [r for r in scan.rows if r["payload_digest"]]
+    assert len(hashed) == 4 and sum(r["payload_bytes"] for r in hashed) == sum(map(len, html)) < len(whole)
+    assert {r["record_id"] for r in scan.rows if not r["payload_digest"]} == {"<urn:x-page:99>"}
+    read = warc.read_archives(spark, folder).collect()
+    assert {(r.record_id, r.payload_digest) for r in read} == {(f"<urn:x-page:{i}>", hashlib.sha256(h.encode()).hexdigest()) for i, h in enumerate(html)}
+
+
+def test_headers_of_a_piece_are_those_of_a_plain_search():
+    rng = np.random.default_rng(5)
+    parts = [b"WARC/1.1", b"WARC/1.0", b"x", b"\r\n", b"\r\n", b"WARC-Type: a", b"warc-type :b", b"Content-Length: 5", b"Content-Length: x", b"Content-Length: " + b"9" * 30, b":", b"\r", b"\n"]
+    for _ in range(3000):
+        piece = b"".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 12)))
+        want, at = [], piece.find(b"WARC/1.")
+        while at >= 0:
+            first, *lines = piece[at:].split(b"\r\n")
+            fields = {k.strip().lower(): v.strip() for k, colon, v in (x.partition(b":") for x in lines) if colon}
+            length = fields.get(b"content-length", b"")
+            if len(first) <= 12 and b"warc-type" in fields and length.isdigit() and len(length) < 19:
+                want.append((at, {k: v for k, v in fields.items() if k in warc._FIELDS}))
+            at = piece.find(b"WARC/1.", at + 1)
+        assert warc._headers(piece) == want
+
+
 def test_no_pages(spark):
     assert warc.op4_warc(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
