@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -142,7 +142,7 @@ class RetrievalIndex:
     """Fitted retrieval model: vocabulary, document vectors per scope, and member rows.
 
     members: c_id, parent_asin and the columns shown for a neighbour.
-    documents: c_id, scope_id, first_id, vec (unit vectors).  vocab: term, term_id, idf, salts.
+    documents: c_id, scope_id, first_id, n_rows, vec (unit vectors).  vocab: term, term_id, idf, salts.
     """
 
     vocab: DataFrame
@@ -173,11 +173,11 @@ class RetrievalIndex:
         named = _named_scopes(base)
         own = base.join(F.broadcast(named), "kind", "left_semi").withColumn("scope_id", _scope_id(F.col("kind")))
         scoped = own.unionByName(base.withColumn("scope_id", F.lit(0))).drop("kind", "product_document")
-        groups = numbered(scoped.groupBy("scope_id", "doc_key").agg(F.min("parent_asin").alias("first_id")), "c_id")
+        groups = numbered(scoped.groupBy("scope_id", "doc_key").agg(F.min("parent_asin").alias("first_id"), F.count("*").alias("n_rows")), "c_id")
         doc_vectors = docs.select("doc_key", "doc_id").join(vectors(counts, vocab), "doc_id").drop("doc_id")
         documents = materialise(groups.join(doc_vectors, "doc_key").drop("doc_key"))
         members = materialise(
-            scoped.join(groups.drop("first_id"), ["scope_id", "doc_key"]).drop("scope_id", "doc_key")
+            scoped.join(groups.drop("first_id", "n_rows"), ["scope_id", "doc_key"]).drop("scope_id", "doc_key")
         )
         return RetrievalIndex(vocab, documents, members, global_rating_mean(base), cfg)
 
@@ -220,9 +220,16 @@ def neighbours(queries: DataFrame, index: RetrievalIndex, cfg: RetrievalConfig |
     )
     ask_vectors = vectors(term_counts(ask_docs, cfg.vocabulary, key="q_id"), index.vocab, "q_id")
     query_docs = materialise(ask_docs.select("q_id", "scope_id").join(ask_vectors, "q_id"))
-    best = materialise(similar_documents(query_docs, index.documents, cfg))
-
-    # Expand to rows: at most pool members per document can matter, the lowest ids first.
+    best = similar_documents(query_docs, index.documents, cfg)
+
+    # Expand to rows: documents that follow a whole pool of more similar rows cannot matter, and of the
+    # others at most pool members, the lowest ids first.
+    sized = best.join(index.documents.select("c_id", F.least("n_rows", F.lit(cfg.pool)).alias("n_rows")), "c_id")
+    above = Window.partitionBy("q_id").orderBy(F.desc("similarity"))
+    sized = sized.withColumn("so_far", F.sum("n_rows").over(above)).withColumn(
+        "equal", F.sum("n_rows").over(Window.partitionBy("q_id", "similarity"))
+    )
+    best = materialise(sized.where(F.col("so_far") - F.col("equal") < cfg.pool).select("q_id", "c_id", "similarity"))
     rows = top_per_group(index.members, ["c_id"], [F.asc("parent_asin")], cfg.pool).drop("rank")
     pool = top_per_group(
         best.join(rows, "c_id"), ["q_id"], [F.desc("similarity"), F.asc("parent_asin")], cfg.pool

@@ -72,6 +72,19 @@ def test_matches_brute_force(spark, floor, k):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-8)
 
 
+def test_many_copies_end_the_expansion(spark):
+    docs = [(f"p{i:03d}", "device", 10.0, f"red blue cable {'pro ' * (i % 7)}") for i in range(140)]
+    docs += [(f"z{i}", "device", 9.0, text) for i, text in enumerate(["red blue", "blue cable", "cable red", "red pro cable"])]
+    cfg = R.RetrievalConfig(3, 2, 0.05, None, VocabularyConfig(min_df=1))
+    index = R.RetrievalIndex.fit(spark.createDataFrame(rows(docs), SCHEMA), cfg)
+    ask = [("p000", "device", 10.0, docs[0][3]), ("p003", "device", 10.0, docs[3][3]), ("z0", "device", 9.0, "red blue"), ("z9", "device", 9.0, "blue cable")]
+    found = R.neighbours(spark.createDataFrame(rows(ask), SCHEMA), index).collect()
+    got = sorted((r["query_id"], r["parent_asin"], r["similarity"]) for r in found)
+    want = brute(ask, docs, 3, 0.05, 1)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-8)
+
+
 def test_disallowed_kind_finds_nothing_and_index_round_trips(spark, tmp_path):
     docs = [("D1", "device", 189.0, "apple airpods pro wireless earbuds"), ("D2", "device", 79.0, "wireless earbuds bluetooth"), ("C1", "case", 9.0, "earbuds case")]
     cfg = R.RetrievalConfig(2, 4, 0.05, ("device",), VocabularyConfig(min_df=1))
