@@ -103,3 +103,21 @@ def test_dense_blocks_do_not_change_results(spark):
     one = sorted(tuple(r) for r in L.dense_neighbours(e, e, 3, 10_000).collect())
     many = sorted(tuple(r) for r in L.dense_neighbours(e, e, 3, 64).collect())
     assert one == many
+
+
+def test_pairs_are_never_rows_and_blocks_do_not_change_results(spark):
+    docs = [(f"p{i:03d}", "device", 10.0, f"red cable {i % 13} {'pro' * (i % 3)} x{i % 40}") for i in range(120)]
+    ask = spark.createDataFrame(rows(docs[::7]), SCHEMA)
+    found = []
+    for size in (20_000, 12):
+        cfg = R.RetrievalConfig(3, 2, 0.05, None, VocabularyConfig(min_df=1, postings_per_task=size))
+        got = R.neighbours(ask, R.RetrievalIndex.fit(spark.createDataFrame(rows(docs), SCHEMA), cfg))
+        found.append(sorted((r["query_id"], r["rank"], r["parent_asin"], r["similarity"]) for r in got.collect()))
+    assert found[0] == found[1] and len(found[0]) == 3 * len(docs[::7])
+    vec = "array<struct<t:int,w:double,idf:double>>"
+    one = [(i, 1, [(1, 1.0, 1.0)], f"p{i}") for i in range(50)]
+    q = spark.createDataFrame([r[:3] for r in one], f"q_id long, scope_id int, vec {vec}")
+    c = spark.createDataFrame(one, f"c_id long, scope_id int, vec {vec}, first_id string")
+    best = R.similar_documents(q, c, R.RetrievalConfig(1, 1))
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert best.count() == 50 * 2 and "explode(vec" not in plan and "explode(head" not in plan
