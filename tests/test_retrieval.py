@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from meritlens.functions.terms import ENGLISH_STOP
@@ -121,3 +122,23 @@ def test_pairs_are_never_rows_and_blocks_do_not_change_results(spark):
     best = R.similar_documents(q, c, R.RetrievalConfig(1, 1))
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert best.count() == 50 * 2 and "explode(vec" not in plan and "explode(head" not in plan
+
+
+def test_dense_tasks_take_many_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows_ = [(i % 590, [float(x) for x in v]) for i, v in enumerate(rng.integers(-1, 2, (600, 3)) / 2)]  # ties and repeated ids
+    e = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").coalesce(1)
+    want = []
+    for q, a in rows_:
+        want += [(q, c, round(sum(x * y for x, y in zip(a, b)), 8)) for c, b in rows_ if c != q]
+    by = {}
+    for q, c, s in want:
+        by.setdefault(q, []).append((-s, c))
+    want = sorted((q, c, -s) for q, found in by.items() for s, c in sorted(found)[:4])
+    found = L.dense_neighbours(e, e, 4, 16)
+    assert sorted((r["query_id"], r["vec_id"], r["similarity"] + 0.0) for r in found.collect()) == [(q, c, s + 0.0) for q, c, s in want]
+    # A side of 600 rows is copied once for each of the other side's 8 blocks, not for each of 38 products.
+    assert "sequence(0, 7" in (plan := found._jdf.queryExecution().analyzed().toString()) and "sequence(0, 37" not in plan
+    monkeypatch.setattr(L, "TASK_ROWS", 50)
+    again = L.dense_neighbours(e, e, 4, 16)
+    assert sorted((r["query_id"], r["vec_id"], r["similarity"] + 0.0) for r in again.collect()) == [(q, c, s + 0.0) for q, c, s in want]
