@@ -221,7 +221,7 @@ class RetrievalIndex:
             "m_id",
         )
         docs = numbered(distinct_documents(base, "product_document"), "doc_id")
-        counts = materialise(term_counts(docs, cfg.vocabulary))
+        counts = materialise(term_counts(docs, cfg.vocabulary, unique=True))
         vocab = materialise(vocabulary(counts, docs, cfg.vocabulary))
         ids = base.select("kind", "doc_key", "parent_asin", "m_id")
         own = ids.join(F.broadcast(_named_scopes(base)), "kind", "left_semi").withColumn("scope_id", _scope_id(F.col("kind")))
@@ -270,7 +270,7 @@ def neighbours(queries: DataFrame, index: RetrievalIndex, cfg: RetrievalConfig |
     ask_docs = numbered(
         asks.groupBy("scope_id", "doc_key").agg(F.any_value("text").alias("text"), F.lit(1).alias("copies")), "q_id"
     )
-    ask_vectors = vectors(term_counts(ask_docs, cfg.vocabulary, key="q_id"), index.vocab, "q_id")
+    ask_vectors = vectors(term_counts(ask_docs, cfg.vocabulary, key="q_id", unique=True), index.vocab, "q_id")
     query_docs = materialise(ask_docs.select("q_id", "scope_id").join(ask_vectors, "q_id"))
     best = similar_documents(query_docs, index.documents, cfg)
 
