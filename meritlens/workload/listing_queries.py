@@ -22,7 +22,7 @@ from .views import rounded, sql
 
 def listings(spark, sf):
     """One candidate listing per part, with every optional field missing somewhere."""
-    p = views.table(spark, sf, "part")
+    p = views.spread(views.table(spark, sf, "part"))
     k = F.col("p_partkey")
     price = F.struct(
         F.when(k % 11 == 0, "n/a").otherwise(F.col("p_retailprice").cast("string")).alias("value"),
