@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +36,11 @@ def _parsed(placed: DataFrame, depth: int) -> DataFrame:
 
     All lines of a path are long or none is.
     """
-    uneven = F.col("raw").rlike("[\\x09-\\x0D]|\\x20\\x20")
+    # Tests of plain strings read the bytes as they are; a regular expression would decode each line first.
+    uneven = reduce(or_, [F.col("raw").contains(x) for x in ("  ", *"\t\n\x0b\x0c\r")])
     even = F.when(uneven, F.regexp_replace("raw", "[\\x20\\x09-\\x0D]+", " ")).otherwise(F.col("raw"))
     placed = placed.withColumn("line", F.trim(even))
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", ANY)).otherwise(F.col("line"))
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ 0-9]*+[0-9][^ ]*", ANY)).otherwise(F.col("line"))
     placed = placed.where("line != ''").withColumn("line", masked)
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     long = (count >= LONG_TOKENS) | ((count <= depth) & (F.length("line") >= LONG_CHARS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from meritlens.llm.words import chunks, mixed, slice_hashes, split_words
 BANDS, ROWS = 40, 5
 #: Positions of the second permutation; the first one is a bijection of 64-bit hashes, cut to so many.
 PLACES = 1 << 20
+#: Places of tokens that are told apart by what labels have them, and places of a row between tasks.
+TOKEN_PLACES, BLOCK = 1 << 22, 1 << 12
 #: Rounds in which a bucket compares one pivot with its other components, before the rest is searched by rare shingles.
 PIVOTS = 1
 _ORDER = 0xD6E8FEB86659FD93  # odd multiples of it tell the words of a shingle apart
@@ -178,29 +180,51 @@ def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     """
     spark = nodes.sparkSession
     ids = bit_table(nodes, F.xxhash64("id"))
-    own = materialise(maybe_member(sets, F.xxhash64("id"), ids, "hit").where("hit").drop("hit").join(nodes, "id"))
-    counted = own.select(F.explode("s").alias("g")).groupBy(F.shiftrightunsigned("g", 44).cast("int").alias("place")).agg(F.count("*").alias("c")).toArrow()
+    own = materialise(maybe_member(sets, F.xxhash64("id"), ids, "hit").where("hit").drop("hit").join(nodes, "id").select("id", "label", "s"))
+
+    def everywhere(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        place = (batch.column("s").flatten().to_numpy().view(np.uint64) >> np.uint64(44)).astype(np.int64)
+        return place, np.ones(len(place), np.int64)
+
     table = np.zeros(PLACES, np.int64)
-    table[counted.column("place").to_numpy()] = counted.column("c").to_numpy()
+    for place, count in _by_place(own, everywhere, [np.add]):
+        table[place] = count
     shared = spark.sparkContext.broadcast(table)
 
+    def first(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Row, rank, size and token of the rarest shingles of all sets of a batch."""
+        at, rank, size, token = ([np.zeros(0, np.int64)] for _ in range(4))
+        for i, s in enumerate(batch.column("s")):
+            s = s.values.to_numpy().view(np.uint64)
+            n = len(s)
+            rarest = np.lexsort((s, shared.value[(s >> np.uint64(44)).astype(np.int64)]))[: n - -(-n * percent // 100) + 1]
+            at.append(np.full(len(rarest), i))
+            rank.append(np.arange(len(rarest)))
+            size.append(np.full(len(rarest), n))
+            token.append(s[rarest].view(np.int64))
+        return tuple(np.concatenate(x) for x in (at, rank, size, token))
+
+    def labelled(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        at, _, _, token = first(batch)
+        label = batch.column("label").to_numpy()[at]
+        return _token_place(token), label, label
+
+    # Places at which the rarest shingles of several labels lie; a shingle that one label has alone gives no pair.
+    several = np.zeros(TOKEN_PLACES, bool)
+    for place, low, high in _by_place(own, labelled, [np.minimum, np.maximum]):
+        several[place[low < high]] = True
+    useful = spark.sparkContext.broadcast(np.packbits(several))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(useful.value).view(bool)
         for batch in batches:
-            at, rank, size, token = [], [], [], []
-            for i, s in enumerate(batch.column("s")):
-                s = s.values.to_numpy().view(np.uint64)
-                n = len(s)
-                first = np.lexsort((s, shared.value[(s >> np.uint64(44)).astype(np.int64)]))[: n - -(-n * percent // 100) + 1]
-                at.append(np.full(len(first), i))
-                rank.append(np.arange(len(first)))
-                size.append(np.full(len(first), n))
-                token.append(s[first].view(np.int64))
-            if at:
-                at = pa.array(np.concatenate(at))
-                columns = [batch.column("id").take(at), batch.column("label").take(at)]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate(c)) for c in (rank, size, token))], ["id", "label", "rank", "n", "token"])
-
-    rare = own.select("id", "label", "s").mapInArrow(run, "id long, label long, rank long, n long, token long")
+            at, rank, size, token = first(batch)
+            hit = bits[_token_place(token)]
+            rows = pa.array(at[hit])
+            columns = [batch.column("id").take(rows), batch.column("label").take(rows), *(pa.array(c[hit]) for c in (rank, size, token))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "rank", "n", "token"])
+
+    rare = own.mapInArrow(frugal(run), "id long, label long, rank long, n long, token long")
     several = group_apart(rare, ["token"], F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     rare = materialise(rare.join(several, "token"))
     a, b = rare.alias("a"), rare.alias("b")
@@ -210,6 +234,47 @@ def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return met.select(F.col("a.id").alias("p"), F.col("b.id").alias("x")).distinct()
 
 
+def _token_place(token: np.ndarray) -> np.ndarray:
+    return (mixed(token.view(np.uint64)) % np.uint64(TOKEN_PLACES)).astype(np.int64)
+
+
+def _by_place(df: DataFrame, read: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], merge: list[np.ufunc]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places and their values (integers), merged over all rows, block by block of places.
+
+    ``read`` gives places and values of a batch. A task merges its own before it sends them, as a row a block, so neither
+    the rows sent nor what the caller gets grow with the number of values.
+    """
+
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        place, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(place, kind="stable")
+        place, start = np.unique(place[order], return_index=True)
+        return place, *(f.reduceat(v[order], start) if len(place) else v for f, v in zip(merge, values, strict=True))
+
+    def rows(parts: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        block, start = np.unique(parts[0] // BLOCK, return_index=True)
+        ends = np.append(start, len(parts[0])).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(block), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in parts)], names)
+
+    def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = None
+        for batch in batches:
+            own = read(batch)
+            so_far = merged([own] if so_far is None else [so_far, own])
+        if so_far is not None:
+            yield rows(so_far)
+
+    def in_block(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([rows(merged([tuple(table.column(c).combine_chunks().flatten().to_numpy() for c in names[1:])]))])
+
+    names = ["block", "place", *(f"v{i}" for i in range(len(merge)))]
+    schema = ", ".join(["block long", *(f"{c} array<long>" for c in names[1:])])
+    found = df.mapInArrow(frugal(in_task), schema).groupBy("block").applyInArrow(in_block, schema).toArrow()
+    for row in found.to_batches():
+        for i in range(len(row)):
+            yield tuple(row.column(c)[i].values.to_numpy() for c in names[1:])
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
