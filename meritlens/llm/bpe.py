@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from meritlens.llm.common import fresh, frugal, materialise, new_folder, text_batches
+from meritlens.llm.common import fresh, frugal, give_back, materialise, new_folder, text_batches
 
 #: Most words of the lexicon besides special tokens, and the share of a block's words that makes a word frequent.
 LEXICON, FREQUENT = 1 << 17, 1e-6
 #: Characters in a block of counted words, in a piece of it that is counted at once, and in a chunk that is encoded at once.
 BLOCK_CHARS, PIECE_CHARS, CHUNK_CHARS = 16_000_000, 500_000, 300_000
+#: Words that the driver merges at once, and bytes of the artifact that it hands over at once.
+LEXICON_PART, WRITTEN = 1 << 14, 1 << 20
 #: Words of more bytes are merged one by one with a heap.
 LONG_WORD = 64
 LETTER, NUMBER, OTHER, SPACE, EDGE = range(5)
@@ -115,10 +117,11 @@ def read_tokenizer(path: str) -> dict:
 def code_classes() -> np.ndarray:
     """Letter, number, white space or other for each code point; the last entry stands between texts."""
     out = np.full(_CODES + 1, OTHER, np.uint8)
-    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(_CODES))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
+    for plane in range(0, _CODES, 1 << 12):  # strings of few characters, as the whole of them takes 50 MB for a moment
+        some = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(plane, plane + (1 << 12)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for m in regex.finditer(pattern, some):
+                out[plane + m.start() : plane + m.end()] = kind
     out[_CODES] = EDGE
     return out
 
@@ -302,7 +305,7 @@ def build_automaton(words: list[bytes]) -> dict[str, np.ndarray]:
         low = free - labels[0]  # first places where every arc of the state finds room
         while True:
             if low + window + 512 > room:
-                room *= 2
+                room = max(2 * room, low + window + 512)
                 owner, target, output, vacant = (
                     np.concatenate([a, np.full(room - len(a), fill, a.dtype)]) for a, fill in ((owner, -1), (target, 0), (output, 0), (vacant, True))
                 )
@@ -423,16 +426,26 @@ def compile_lexicon(spark: SparkSession, words: list[str], tokenizer: str) -> st
         if word_starts(codes, classes).sum() == 2:  # one pre-token and the edge
             pattern_ok.append(w.encode())
     lexicon = sorted(set(pattern_ok) | {s.encode() for s in specials})
-    ids, counts = merge_words(lexicon, model)
-    ends = np.cumsum(counts)
-    pieces = [ids[e - c : e] for e, c in zip(ends, counts, strict=True)]
-    for i, w in enumerate(lexicon):
-        if w.decode() in specials:
-            pieces[i] = np.array([specials[w.decode()]])
+    del pattern_ok
+    ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in range(0, len(lexicon), LEXICON_PART):  # words are merged each by itself, so part by part in the driver's memory
+        some = lexicon[start : start + LEXICON_PART]
+        merged, many = merge_words(some, model)
+        own = {i: specials[w.decode()] for i, w in enumerate(some) if w.decode() in specials}
+        ends = np.cumsum(many)
+        for i in sorted(own, reverse=True):
+            merged = np.concatenate([merged[: ends[i] - many[i]], [own[i]], merged[ends[i] :]])
+        many = many.copy()
+        many[list(own)] = 1
+        ids.append(merged.astype(np.int64))
+        counts.append(many.astype(np.int64))
+    give_back()
     model |= build_automaton(lexicon)
+    del lexicon
+    give_back()
     model |= {
-        "lexicon_ids": np.concatenate(pieces).astype(np.int64) if pieces else np.zeros(0, np.int64),
-        "lexicon_end": np.cumsum([len(p) for p in pieces]).astype(np.int64),
+        "lexicon_ids": np.concatenate(ids),
+        "lexicon_end": np.cumsum(np.concatenate(counts)).astype(np.int64),
         "classes": classes,
         "special_text": np.frombuffer(json.dumps(list(specials)).encode(), np.uint8),
     }
@@ -440,8 +453,12 @@ def compile_lexicon(spark: SparkSession, words: list[str], tokenizer: str) -> st
     path = f"{new_folder(spark, 'lexicon')}/{name}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
-    out.write(bytearray(_pack(model)))
+    packed = _pack(model)
+    for start in range(0, len(packed), WRITTEN):  # each call takes several copies of its bytes here and in the JVM
+        out.write(bytearray(packed[start : start + WRITTEN]))
     out.close()
+    del packed, model
+    give_back()
     spark.sparkContext.addFile(path)
     return name
 

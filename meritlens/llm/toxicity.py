@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from meritlens.llm.common import fresh, frugal, held_out, logistic, materialise, text_batches
+from meritlens.llm.common import fresh, frugal, give_back, held_out, logistic, materialise, text_batches
 from meritlens.llm.words import CHUNK_BYTES, chunks, slice_hashes, split_words
 
 #: Words in a window; windows overlap by a quarter.
@@ -60,8 +60,11 @@ class Words:
         out.hash, first, same = np.unique(np.concatenate([p.hash for p in parts]), return_index=True, return_inverse=True)
         before = np.cumsum([0, *(len(p.hash) for p in parts)])
         out.index = np.concatenate([same[b + p.index].astype(np.int32) for b, p in zip(before, parts, strict=False)])
-        out.grams, out.gram = np.concatenate([p.grams for p in parts]), np.concatenate([p.gram for p in parts])
-        out.gram, out.grams = out.gram[_grams_of(out, first)], out.grams[first]
+        every = cls.__new__(cls)
+        every.grams, every.gram = np.concatenate([p.grams for p in parts]), np.concatenate([p.gram for p in parts])
+        del parts
+        out.grams = every.grams[first]
+        out.gram = np.concatenate([every.gram[:0], *(every.gram[_grams_of(every, first[r])] for r in _runs(len(first)))])
         return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,16 +229,19 @@ class Network:
 def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = SEED) -> Network:
     """Fit on whole texts with labels: only the most toxic window of a text, as scored so far, is fitted to its label.
 
-    Four fifths train the network, the rest calibrates its logits; ``weight`` is the number of rows of
+    ``texts`` is emptied once it is read, as the driver's memory holds the fit. Four fifths train the network, the rest calibrates its logits; ``weight`` is the number of rows of
     the corpus that a text of its class stands for.
     """
     net = Network(seed)
     draw = np.random.default_rng(seed)
     words = Words.of_all(texts)
-    fit = draw.random(len(texts)) < 0.8
+    texts.clear()
+    give_back()
+    n_texts = len(toxic)
+    fit = draw.random(n_texts) < 0.8
     begin, size, many = words.windows()
-    text = np.repeat(np.arange(len(texts)), many)
-    word_text = np.repeat(np.arange(len(texts), dtype=np.int32), words.count)
+    text = np.repeat(np.arange(n_texts), many)
+    word_text = np.repeat(np.arange(n_texts, dtype=np.int32), words.count)
     count = lambda rows: np.bincount(words.index[rows[word_text]], minlength=len(words.hash))
     tables = []
     for rows in (fit & (toxic == 1), fit & (toxic == 0)):
@@ -243,11 +249,14 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = S
         tables.append((np.bincount((words.hash & np.uint64(COUNTED - 1)).astype(np.int64), n, COUNTED),
                        sum(np.bincount(words.gram[_grams_of(words, r)], np.repeat(n[r], words.grams[r]), COUNTED) for r in _runs(len(words.hash)))))
     net.word_odds, net.gram_odds = log_odds(tables[0][0], tables[1][0]), log_odds(tables[0][1], tables[1][1])
+    del tables, n, word_text
     index = np.append(words.index, np.full(WINDOW, len(words.hash), np.int32))
     word_slot = (words.hash & np.uint64(ROOM - 1)).astype(np.int64)
     odds = np.concatenate([net.inputs(words, r)[:, :2].max(axis=1) for r in _runs(len(words.hash))] or [np.zeros(0)])
     sums = np.append(0, np.cumsum(np.maximum(odds, 0)[words.index]))
     toxic_by = sums[begin + size] - sums[begin]
+    del odds, sums
+    give_back()
     epochs = max(EPOCHS, -(-STEPS * BATCH // max(int(fit.sum()), 1)))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
@@ -280,7 +289,8 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = S
                 two += 0.001 * (v * v - two)
                 net.p[k] -= RATE * ((one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.999**step)) + 1e-7) + 1e-3 * net.p[k])
     held = np.flatnonzero(~fit)
-    held = held if len(set(toxic[held].tolist())) == 2 else np.arange(len(texts))
+    held = held if len(set(toxic[held].tolist())) == 2 else np.arange(n_texts)
+    give_back()
     logit = np.maximum.reduceat(net.window_logits(net.projected(words), index, begin, size), np.cumsum(many) - many)
     net.scale = logistic(np.column_stack([logit, np.ones(len(logit)), np.log(many)])[held], toxic[held], weight[held])
     return net
@@ -309,7 +319,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic = rows.column("toxic").to_numpy()
     if len(set(toxic.tolist())) < 2:
         return totals[1][0] / (totals[0][0] + totals[1][0])
-    return train(rows.column("t").to_pylist(), toxic, np.where(toxic == 1, 1 / share[1], 1 / share[0]))
+    texts = rows.column("t").to_pylist()
+    del rows
+    net = train(texts, toxic.copy(), np.where(toxic == 1, 1 / share[1], 1 / share[0]))
+    give_back()
+    return net
 
 
 def score(docs: DataFrame, model: Network | float, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
