@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions.numbers import clamp, finite
-from ..functions.text import jaccard, string_array, strip, text_or_blank
+from ..functions.text import string_array, strip, text_or_blank
 from .listings import USABLE
 
 PRICE_GAP_MARGIN = 0.02
+#: What is counted over the keys of two listings.
+COUNTED = ("both", "has_a", "has_b", "shared", "same", "known")
+#: Service terms of a listing, and whether more of one is better.
+METRICS = (("delivery_days", False), ("warranty_months", True), ("return_window_days", True))
 _SIDE = (
     "title", "source_url", "good_value_probability", "neutral_probability", "prediction", "prediction_reason",
     "price_gap_vs_peer", "peer_price_source", "retrieval_status",
@@ -121,32 +125,46 @@ def _title_words(c: Column) -> Column:
     return F.array_except(words, string_array(terms.COMPARE_STOP))
 
 
+def compared_side(x: Column) -> Column:
+    """What ``compare_listings`` needs of a listing (title, currency, prices, policies, specs map), as a struct.
+
+    A listing of many pairs has it made once, ahead of the join with them.
+    """
+    num = lambda n: finite(x[n])
+    base, given = num("base_price"), num("total_price")
+    estimate = F.greatest(
+        base + F.coalesce(num("shipping_fee"), F.lit(0.0)) - F.coalesce(num("platform_discount"), F.lit(0.0))
+        - F.coalesce(num("seller_discount"), F.lit(0.0)) - F.coalesce(num("voucher_discount"), F.lit(0.0)),
+        F.lit(0.0),
+    )
+    specs = F.coalesce(F.map_filter(x["specs"], lambda k, v: F.trim(k) != ""), F.create_map().cast("map<string,string>"))
+    return F.struct(
+        F.when(given.isNotNull(), given).when(base.isNotNull(), estimate).alias("total"),
+        (given.isNull() & base.isNotNull()).alias("estimated"),
+        F.transform_values(
+            specs, lambda k, v: F.struct((F.coalesce(v, F.lit("")) != "").alias("filled"), _plain(v).alias("plain"), finite(v).alias("number"))
+        ).alias("specs"),
+        F.array_join(_title_words(x["title"]), " ").alias("words"),
+        F.upper(text_or_blank(x["currency"])).alias("currency"),
+        *[num(n).alias(n) for n, _ in METRICS],
+    )
+
+
 def compare_listings(pairs: DataFrame, cfg: CompareConfig = CompareConfig()) -> DataFrame:
     """Cost, specification and service scores of two listings, confidence and verdict.
 
-    pairs: structs ``a`` and ``b`` (title, currency, prices, policies, specs map) and an
-    optional ``required_spec_keys`` list.
+    pairs: structs ``a`` and ``b`` (title, currency, prices, policies, specs map, or what ``compared_side`` makes of those)
+    and an optional ``required_spec_keys`` list.
     """
     rows = pairs
     for s in "ab":
-        num = lambda n, s=s: finite(F.col(f"{s}.{n}"))
-        base = num("base_price")
-        estimate = F.greatest(
-            base + F.coalesce(num("shipping_fee"), F.lit(0.0)) - F.coalesce(num("platform_discount"), F.lit(0.0))
-            - F.coalesce(num("seller_discount"), F.lit(0.0)) - F.coalesce(num("voucher_discount"), F.lit(0.0)),
-            F.lit(0.0),
-        )
-        given = num("total_price")
+        if "words" not in pairs.schema[s].dataType.names:
+            rows = rows.withColumn(s, compared_side(F.col(s)))
+        words = F.col(f"{s}.words")
         rows = rows.withColumns(
             {
-                f"{s}_total": F.when(given.isNotNull(), given).when(base.isNotNull(), estimate),
-                f"{s}_estimated": given.isNull() & base.isNotNull(),
-                f"{s}_specs": F.coalesce(
-                    F.map_filter(F.col(f"{s}.specs"), lambda k, v: F.trim(k) != ""),
-                    F.create_map().cast("map<string,string>"),
-                ),
-                f"{s}_words": _title_words(F.col(f"{s}.title")),
-                f"{s}_currency": F.upper(text_or_blank(F.col(f"{s}.currency"))),
+                **{f"{s}_{n}": F.col(f"{s}.{n}") for n in ("total", "estimated", "specs", "currency")},
+                f"{s}_words": F.when(words != "", F.split(words, " ")).otherwise(F.array().cast("array<string>")),
             }
         )
     required = (
@@ -155,40 +173,40 @@ def compare_listings(pairs: DataFrame, cfg: CompareConfig = CompareConfig()) ->
         else F.array().cast("array<string>")
     )
     rows = rows.withColumn("_required", F.coalesce(required, F.array().cast("array<string>")))
-    union = F.array_sort(F.array_union(F.map_keys("a_specs"), F.map_keys("b_specs")))
+    union = F.sort_array(F.array_union(F.map_keys("a_specs"), F.map_keys("b_specs")))
     rows = rows.withColumn("_union", union).withColumn(
         "_keys", F.when(F.size("_required") > 0, F.col("_required")).otherwise(F.col("_union"))
     )
 
-    def spec(k: Column) -> Column:
-        a, b = F.try_element_at("a_specs", k), F.try_element_at("b_specs", k)
-        has_a, has_b = F.coalesce(a, F.lit("")) != "", F.coalesce(b, F.lit("")) != ""
-        na, nb = finite(a), finite(b)
+    def spec(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        has_a, has_b = F.coalesce(a["filled"], F.lit(False)), F.coalesce(b["filled"], F.lit(False))
+        pa, pb = F.coalesce(a["plain"], F.lit("")), F.coalesce(b["plain"], F.lit(""))
+        na, nb = a["number"], b["number"]
         ra, rb = _relative(na, nb, True)
-        same = (_plain(a) == _plain(b)) & (_plain(a) != "")
+        same = (pa == pb) & (pa != "")
         both_numbers = na.isNotNull() & nb.isNotNull()
         return F.struct(
-            k.alias("key"), has_a.alias("has_a"), has_b.alias("has_b"), (has_a & has_b).alias("both"),
+            x["key"].alias("key"), has_a.alias("has_a"), has_b.alias("has_b"), (has_a & has_b).alias("both"),
             F.when(both_numbers, ra).when(same, 100.0).otherwise(50.0).alias("score_a"),
             F.when(both_numbers, rb).when(same, 100.0).otherwise(50.0).alias("score_b"),
-            (F.array_contains(F.map_keys("a_specs"), k) & F.array_contains(F.map_keys("b_specs"), k)).alias("shared"),
-            (_plain(a) == _plain(b)).alias("equal"),
-            (F.array_contains(F.map_keys("a_specs"), k) | F.array_contains(F.map_keys("b_specs"), k)).alias("known"),
+            (a.isNotNull() & b.isNotNull()).alias("shared"),
+            (pa == pb).alias("equal"),
+            (a.isNotNull() | b.isNotNull()).alias("known"),
         )
 
-    rows = rows.withColumn("_spec", F.transform("_keys", spec))
-    n_keys = F.size("_keys")
-
-    def count(test) -> Column:
-        return F.size(F.filter("_spec", test)).cast("double")
+    def found(k: Column) -> Column:
+        return F.struct(k.alias("key"), F.try_element_at("a_specs", k).alias("a"), F.try_element_at("b_specs", k).alias("b"))
 
-    compared = count(lambda x: x["both"])
+    rows = rows.withColumn("_spec", F.transform(F.transform("_keys", found), spec))
+    # One pass over the keys for all their counts and sums.
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in (*COUNTED, "score_a", "score_b")])
+    rows = rows.withColumn("_sums", F.aggregate("_spec", zero, _summed))
+    n_keys, compared = F.size("_keys"), F.col("_sums.both")
     out = {}
     for s in "ab":
-        cover = F.try_divide(count(_has(s)), n_keys)
-        edge = F.coalesce(
-            F.try_divide(F.aggregate(F.filter("_spec", lambda x: x["both"]), F.lit(0.0), _add(s)), compared), F.lit(50.0)
-        )
+        cover = F.try_divide(F.col(f"_sums.has_{s}"), n_keys)
+        edge = F.coalesce(F.try_divide(F.col(f"_sums.score_{s}"), compared), F.lit(50.0))
         out[f"{s}_coverage"] = cover
         out[f"{s}_spec_score"] = F.when(n_keys == 0, 50.0).otherwise(
             clamp(100.0 * (0.7 * cover + 0.3 * edge / 100.0), 0.0, 100.0)
@@ -198,9 +216,8 @@ def compare_listings(pairs: DataFrame, cfg: CompareConfig = CompareConfig()) ->
 
     cost = _relative(F.col("a_total"), F.col("b_total"), False)
     service = [F.lit(0.0), F.lit(0.0)]
-    metrics = (("delivery_days", False), ("warranty_months", True), ("return_window_days", True))
-    for name, higher in metrics:
-        pair = _relative(finite(F.col(f"a.{name}")), finite(F.col(f"b.{name}")), higher)
+    for name, higher in METRICS:
+        pair = _relative(F.col(f"a.{name}"), F.col(f"b.{name}"), higher)
         service = [service[i] + pair[i] / 3.0 for i in (0, 1)]
     lost = []
     for s in "ab":
@@ -208,20 +225,22 @@ def compare_listings(pairs: DataFrame, cfg: CompareConfig = CompareConfig()) ->
             F.when(F.col(f"{s}_total").isNull(), f"{s}.total_price"),
             F.when(F.size(F.map_keys(f"{s}_specs")) == 0, f"{s}.specs"),
             F.when(F.col(f"{s}_estimated"), f"{s}.total_price_estimated"),
-            *[F.when(finite(F.col(f"{s}.{n}")).isNull(), f"{s}.{n}") for n, _ in metrics],
+            *[F.when(F.col(f"{s}.{n}").isNull(), f"{s}.{n}") for n, _ in METRICS],
         ]
     absent = [
         F.transform(F.filter("_spec", _lacks(s)), _named(s)) for s in "ab"
     ]
-    shared = count(lambda x: x["shared"])
-    ratio = F.coalesce(F.try_divide(count(lambda x: x["shared"] & x["equal"]), shared), F.lit(0.5))
-    words = jaccard(F.col("a_words"), F.col("b_words"))
+    ratio = F.coalesce(F.try_divide(F.col("_sums.same"), F.col("_sums.shared")), F.lit(0.5))
+    # Words are distinct, so the size of their union follows from that of what both have.
+    rows = rows.withColumn("_both", F.size(F.array_intersect("a_words", "b_words")))
+    either = F.size("a_words") + F.size("b_words") - F.col("_both")
+    words = F.when(either == 0, F.lit(0.5)).otherwise(F.col("_both") / F.greatest(either, F.lit(1)))
     rows = rows.withColumns(
         {
             "cost_a": cost[0], "cost_b": cost[1], "service_a": service[0], "service_b": service[1],
             "spec_coverage": coverage,
-            "missing_fields": F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*lost)), *absent))),
-            "comparability_score": F.when(count(lambda x: x["known"]) == 0, words).otherwise(clamp(0.5 * words + 0.5 * ratio)),
+            "missing_fields": F.sort_array(F.array_distinct(F.concat(F.array_compact(F.array(*lost)), *absent))),
+            "comparability_score": F.when(F.col("_sums.known") == 0, words).otherwise(clamp(0.5 * words + 0.5 * ratio)),
         }
     )
     c = F.col("comparability_score")
@@ -288,13 +307,6 @@ def _rounded(name: str, digits: int, into: str | None = None) -> Column:
     return F.round(F.round(name, 9), digits).alias(into or name)
 
 
-def _has(side: str):
-    def test(x: Column) -> Column:
-        return x[f"has_{side}"]
-
-    return test
-
-
 def _lacks(side: str):
     def test(x: Column) -> Column:
         return ~x[f"has_{side}"]
@@ -309,8 +321,10 @@ def _named(side: str):
     return name
 
 
-def _add(side: str):
-    def add(acc: Column, x: Column) -> Column:
-        return acc + x[f"score_{side}"]
-
-    return add
+def _summed(sums: Column, x: Column) -> Column:
+    """Counts and sums with those of one more key."""
+    flags = {n: x["shared"] & x["equal"] if n == "same" else x[n] for n in COUNTED}
+    return F.struct(
+        *[(sums[n] + flag.cast("double")).alias(n) for n, flag in flags.items()],
+        *[(sums[n] + F.when(x["both"], x[n]).otherwise(0.0)).alias(n) for n in ("score_a", "score_b")],
+    )

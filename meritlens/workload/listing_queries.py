@@ -296,9 +296,10 @@ def listing_value(spark, sf):
 
 def _pairs(spark, sf):
     """All neighbouring parts of an order, by part number; an order has at most seven lines."""
-    li = views.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    li = views.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_partkey")
-    each = li.withColumns({"at": F.row_number().over(order), "next": F.lead("l_partkey").over(order)}).where("next IS NOT NULL")
+    # Repeated lines of a part share its place, and the last of them leads on to the next part.
+    each = li.withColumns({"at": F.dense_rank().over(order), "next": F.lead("l_partkey").over(order)}).where("next <> l_partkey OR (l_partkey IS NULL AND next IS NOT NULL)")
     return each.select(
         (F.col("l_orderkey") * 8 + F.col("at")).alias("pair_id"), F.col("l_partkey").cast("string").alias("id_a"), F.col("next").cast("string").alias("id_b")
     )
@@ -359,8 +360,8 @@ def _compare_pairs(spark, sf):
             ).alias("specs"),
         ).alias("x"),
     )
-    pairs = _pairs(spark, sf)
-    out = pairs.join(one.select(F.col("id").alias("id_a"), F.col("x").alias("a")), "id_a")
+    one = one.select("id", P.compared_side(F.col("x")).alias("x"))
+    out = _pairs(spark, sf).join(one.select(F.col("id").alias("id_a"), F.col("x").alias("a")), "id_a")
     return out.join(one.select(F.col("id").alias("id_b"), F.col("x").alias("b")), "id_b")
 
 
